@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from .bpe import op3_bpe
+from .langid import op9_langid
+from .toxicity import op4_toxicity
 
 QUERIES = {
     "op3_bpe": op3_bpe,
+    "op4_toxicity": op4_toxicity,
+    "op9_langid": op9_langid,
 }
 
 ORACLES: dict[str, str] = {}
