@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 from .bpe import op3_bpe
+from .capjoin import op8_capjoin
+from .decontam import op2_decontaminate
 from .langid import op9_langid
+from .neardup import op10_neardup
 from .toxicity import op4_toxicity
 
 QUERIES = {
     "op3_bpe": op3_bpe,
     "op4_toxicity": op4_toxicity,
     "op9_langid": op9_langid,
+    "op2_decontaminate": op2_decontaminate,
+    "op8_capjoin": op8_capjoin,
+    "op10_neardup": op10_neardup,
 }
 
 ORACLES: dict[str, str] = {}
