@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .bpe import _LETTER, _NUMBER, _classes
-from .store import documents
+from .store import documents, keep_rows
 from .text import chunks, ranges
 
 Q = 8
@@ -178,14 +178,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET) ->
     empty texts contain nothing, repeated texts and items each give their rows.
     Items are sent to the workers in blocks of about ``BLOCK`` bytes.
     """
-    items = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "text")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, math.ceil(total / BLOCK))
     context = docs.sparkSession.sparkContext
 
-    def one(b: int) -> DataFrame:
-        held = context.broadcast([(r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect()])
-
+    def one(held) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = Index(held.value, budget)
             for batch in batches:
@@ -197,7 +192,37 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET) ->
 
         return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, item_id long, edits long, first long, end long")
 
-    return reduce(DataFrame.unionByName, map(one, range(blocks)))
+    return reduce(DataFrame.unionByName, (one(context.broadcast(items)) for items in blocks_of(benchmark)))
+
+
+def blocks_of(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
+    """(item_id, text) of the usable items in blocks of about ``BLOCK`` bytes, one at least."""
+    items = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "text")
+    n = max(1, math.ceil((items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / BLOCK))
+    for b in range(n):
+        yield [(r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).collect()]
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET) -> DataFrame:
+    """The rows of ``docs`` that contain no benchmark item within the edit budget, with all their columns."""
+    for items in blocks_of(benchmark):
+        docs = _without(docs, docs.sparkSession.sparkContext.broadcast(items), budget)
+    return docs
+
+
+def _without(docs: DataFrame, held, budget: float) -> DataFrame:
+    def make():
+        index = Index(held.value, budget)
+
+        def wanted(column):
+            out = np.ones(len(column), bool)
+            for a, _, data, offsets in chunks(column):
+                out[[a + found[0] for found in index.find(data, offsets)]] = False
+            return out
+
+        return wanted
+
+    return keep_rows(docs, make)
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

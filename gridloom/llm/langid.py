@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .bpe import _LETTER, _classes
-from .store import documents
+from .store import documents, keep_rows
 from .text import chunks
 
 #: Labelled documents of a language that are learned from, those with the least hash of doc_id.
@@ -199,6 +199,19 @@ def identify(docs: DataFrame, samples: dict[str, list[int]], id_column: str = "d
     return docs.select(docs[id_column].alias("doc_id"), docs[text_column].alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
+def keep_known(docs: DataFrame, samples: dict[str, list[int]]) -> DataFrame:
+    """The rows of ``docs`` whose language is not ``und``, with all their columns; all rows with letters, if nothing was learned."""
+    held = docs.sparkSession.sparkContext.broadcast(samples)
+
+    def make():
+        parser = _parser(held.value)
+        if not parser.langs:
+            return lambda column: np.concatenate([np.zeros(0, bool), *(normalised(data, offsets)[2] for _, _, data, offsets in chunks(column))])
+        return lambda column: [lang != "und" for _, _, data, offsets in chunks(column, CHUNK) for lang in parser.predict(data, offsets)[0]]
+
+    return keep_rows(docs, make)
+
+
 _parsers: list[tuple[dict, Parser]] = []
 
 

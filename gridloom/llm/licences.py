@@ -54,7 +54,7 @@ RULES = (
     ("Apache-2.0", (18,)),
 )
 #: Every known sentence has one of these words' beginnings.
-HINT = "(?i)licen[sc]e|software|copyright|redistribution"
+HINT = "(?i)licen[sc]e|software|copyright|redistribution|warranty"
 #: Where a sentence ends: after its mark and white space, or at a line's end.
 CUT = "[.!?]+[ \\t]+|[\\r\\n]+"
 _CAPITALS, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

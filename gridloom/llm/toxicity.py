@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .store import documents
+from .store import documents, keep_rows
 from .text import chunks, words
 
 #: Labelled rows of each class that the model is fitted on, those with the least hash of doc_id.
@@ -139,22 +139,15 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     return Model(found[0].weight + shift, np.array([r.key for r in found[1:]], np.uint32), np.array([r.weight for r in found[1:]]))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of ``docs`` (doc_id, text and others), then toxic_score; null and empty texts get the model's prior."""
-    schema = docs.select("doc_id", "text").schema
+def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that score below ``threshold``, with all their columns; null and empty texts have the model's prior."""
     held = docs.sparkSession.sparkContext.broadcast((model.bias, model.keys, model.weights))
-    loaded: list[Model] = []
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not loaded:
-            loaded.append(Model(*held.value))
-        for batch in batches:
-            at = batch.schema.get_field_index("text")
-            found = [loaded[0].scores(data, offsets) for _, _, data, offsets in chunks(batch.column(at))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate([np.zeros(0), *found]))], [*batch.schema.names, "toxic_score"])
+    def make():
+        own = Model(*held.value)
+        return lambda column: np.concatenate([np.zeros(0, bool), *(own.scores(data, offsets) < threshold for _, _, data, offsets in chunks(column))])
 
-    kept = docs.drop("toxic_score")
-    return kept.mapInArrow(run, type(schema)([*kept.schema.fields]).add("toxic_score", "double"))
+    return keep_rows(docs, make)
 
 
 def held_out(column: str = "doc_id"):
@@ -165,12 +158,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     model = fit(docs, labels.where(~held_out()))
-    # the text is dropped in the worker, not sent back
-    return digest(docs, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return score(docs, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def digest(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, score) of each text."""
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, score) of each row of ``docs``; null and empty texts get the model's prior."""
     held = docs.sparkSession.sparkContext.broadcast((model.bias, model.keys, model.weights))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -100,10 +100,10 @@ WITH RECURSIVE judged AS (
     SELECT page_id, split_part(url, '#', 1) AS node, coalesce({_sql_host('url')}, '') AS host, coalesce({_sql_path('url')}, '') AS path FROM pages)
 ), edges AS (
   SELECT split_part(url, '#', 1) AS a, unnest([regexp_extract(html, '{CANONICAL}', 1), regexp_extract(html, '{REFRESH}', 1)]) AS b FROM pages
-), both AS (
+), pairs AS (
   SELECT a, b FROM edges WHERE strpos(b, '://') > 0 AND a <> b UNION SELECT b, a FROM edges WHERE strpos(b, '://') > 0 AND a <> b
 ), reach AS (
-  SELECT a, b FROM both UNION SELECT r.a, e.b FROM reach r JOIN both e ON r.b = e.a
+  SELECT a, b FROM pairs UNION SELECT r.a, e.b FROM reach r JOIN pairs e ON r.b = e.a
 ), passed AS (
   SELECT a, CASE WHEN bool_or(own = 'allow') THEN 'allow' WHEN bool_or(own = 'block') THEN 'block' ELSE 'allow' END AS passed
   FROM (SELECT a, {_sql_rule(0)} AS own FROM (SELECT a, {_sql_host('b')} AS host, {_sql_path('b')} AS path FROM reach)) GROUP BY a
