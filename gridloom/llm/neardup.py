@@ -101,25 +101,25 @@ def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (grp, id, signature) sorted by grp to edges (a, b) between leaders and what they gather."""
+    """Rows (grp, id, signature) sorted by grp to edges (a, b): of what leaders gather together, each with the first."""
     for table, at in in_groups(batches, ["grp"]):
         ids = table.column("id").to_numpy()
         own = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint16).reshape(len(ids), -1)
-        a: list[np.ndarray] = []
-        b: list[np.ndarray] = []
+        first = np.arange(len(ids))
         for i, j in zip(at[:-1].tolist(), at[1:].tolist()):
-            part, member = own[i:j], ids[i:j]
-            left = np.arange(j - i)
+            part, label = own[i:j], np.arange(j - i)
+            left = label
             while len(left):
                 lead = left[0]
                 alike = np.concatenate([(part[k : k + 4096] == part[lead]).mean(axis=1) for k in range(0, j - i, 4096)])
-                near = np.flatnonzero(alike >= LOOSE)
-                near = near[near != lead]
-                a.append(np.full(len(near), member[lead]))
-                b.append(member[near])
+                met = np.zeros(j - i, bool)
+                met[label[alike >= LOOSE]] = True
+                label = np.where(met[label], np.flatnonzero(met)[0], label)
                 left = left[(alike[left] < TIGHT) & (left != lead)]
-        if a:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a), pa.int64()), pa.array(np.concatenate(b), pa.int64())], ["a", "b"])
+            first[i:j] = label + i
+        joined = np.flatnonzero(first != np.arange(len(ids)))
+        if len(joined):
+            yield pa.RecordBatch.from_arrays([pa.array(ids[first[joined]]), pa.array(ids[joined])], ["a", "b"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
