@@ -31,6 +31,13 @@ def _log(function):
     return lambda v: F.when(v == 0, F.lit(float("-inf"))).when(v < 0, F.lit(float("nan"))).otherwise(function(v))
 
 
+def _whole(function):
+    """Spark's floor and ceil give integers, which NaN and very large values are not."""
+    return lambda v: F.when(F.isnan(v) | (F.abs(v) >= 2.0**52), v.cast("double")).otherwise(function(v).cast("double"))
+
+
+for _name in (np.floor, np.ceil):
+    _UNARY[_name] = _whole(_UNARY[_name])
 for _name in (np.log, np.log2, np.log10):
     _UNARY[_name] = _log(_UNARY[_name])
 

@@ -33,13 +33,13 @@ def set_policy(mode: str = "warn", threshold: int = 64 << 20) -> None:
 
 
 class ArrayFrame:
-    """``df`` has long columns i0 ... and v; each cell of ``shape`` has one row, in no order.
+    """``df`` (or a function that gives it) has long columns i0 ... and v; each cell of ``shape`` has one row, in no order.
 
     Selecting and reducing give further frames and start no job. ``to_numpy`` is
     the only way to the driver.
     """
 
-    def __init__(self, df: DataFrame, shape: tuple[int, ...], dtype, attrs: dict | None = None, lists: DataFrame | None = None, quality: dict | None = None):
+    def __init__(self, df, shape: tuple[int, ...], dtype, attrs: dict | None = None, lists: DataFrame | None = None, quality: dict | None = None):
         self._df, self.shape, self.dtype = df, tuple(int(n) for n in shape), dtype_of(dtype)
         self.attrs, self._lists, self.applied_quality = attrs or {}, lists, quality or {"codec": "exact"}
 
@@ -76,6 +76,8 @@ class ArrayFrame:
 
     @property
     def df(self) -> DataFrame:
+        if callable(self._df):  # a scan keeps the filters pushed into it, so each use takes a scan of its own
+            return self._df()
         if self._df is None:
             self._df = self._lists.select("i0", F.posexplode("list").alias("p", "v")).select("i0", F.col("p").cast("long").alias("i1"), F.col("v").cast(spark_type(self.dtype)).alias("v"))
         return self._df
@@ -413,6 +415,6 @@ def within(v: Column, bound: float, dtype: np.dtype) -> Column:
     return F.when(F.abs(near.cast("double") - x) <= bound, near).otherwise(v)
 
 
-@F.pandas_udf("float")
+@F.pandas_udf(T.FloatType())
 def _half(v):
     return v.astype("float16").astype("float32")

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from gridloom.functions.dtypes import result_dtype, spark_type, wrapped
 
@@ -17,7 +17,6 @@ FUNCTIONS = ("sum", "prod", "mean", "max", "min", "nanmax", "nanmin", "nansum",
 ALIASES = {"amax": "max", "amin": "min"}
 #: Functions without an answer for no elements.
 NEED_ONE = ("max", "min", "nanmax", "nanmin", "argmax", "argmin", "ptp")
-_NAN = F.lit(float("nan"))
 
 
 def reduced_axes(axis, ndim: int) -> tuple[int, ...]:
@@ -43,7 +42,7 @@ def _isnan(v: Column, kind: str) -> Column:
     return F.isnan(v) if kind == "f" else F.isnan(v.re) | F.isnan(v.im) if kind == "c" else F.lit(False)
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def _wrapping_product(v: pd.Series) -> int:
     with np.errstate(over="ignore"):
         return int(np.multiply.reduce(np.array([int(x) % (1 << 64) for x in v], np.uint64)).astype(np.int64))
@@ -52,7 +51,7 @@ def _wrapping_product(v: pd.Series) -> int:
 def aggregate(function: str, dtype: np.dtype, position: Column, ddof: float = 0) -> Column:
     """The aggregate of column v; ``position`` is the place that arg-extremes answer with."""
     v, kind = F.col("v"), dtype.kind
-    nan = _isnan(v, kind)
+    nan, no_number = _isnan(v, kind), F.lit(float("nan"))
     if function == "sum" or (function == "nansum" and kind in "biu"):
         if kind == "c":
             return F.struct(*(F.coalesce(F.sum(v[p].cast("double")), F.lit(0.0)).alias(p) for p in ("re", "im")))
@@ -71,18 +70,19 @@ def aggregate(function: str, dtype: np.dtype, position: Column, ddof: float = 0)
             size = F.product(F.hypot(v.re.cast("double"), v.im.cast("double")))
             turn = F.sum(F.atan2(v.im.cast("double"), v.re.cast("double")))
             return F.struct(F.coalesce(size * F.cos(turn), F.lit(1.0)).alias("re"), F.coalesce(size * F.sin(turn), F.lit(0.0)).alias("im"))
-        return F.coalesce(_wrapping_product(_number(v, kind).cast("decimal(20,0)")), F.lit(1).cast("long"))
+        product = _wrapping_product(_number(v, kind).cast("decimal(20,0)"))
+        return wrapped(product.cast("decimal(38,0)"), True) if kind == "u" else product
     if function in ("mean", "nanmean"):
         keep = (lambda c: F.when(~nan, c)) if function == "nanmean" else (lambda c: c)
         if kind == "c":
-            return F.struct(*(F.coalesce(F.avg(keep(v[p].cast("double"))), _NAN).alias(p) for p in ("re", "im")))
-        return F.coalesce(F.avg(keep(_number(v, kind).cast("double"))), _NAN)
+            return F.struct(*(F.coalesce(F.avg(keep(v[p].cast("double"))), no_number).alias(p) for p in ("re", "im")))
+        return F.coalesce(F.avg(keep(_number(v, kind).cast("double"))), no_number)
     if function in ("var", "std"):
         n = F.count(F.lit(1)).cast("double")
         parts = [v.re, v.im] if kind == "c" else [_number(v, kind)]
         total = sum((F.var_pop(p.cast("double")) for p in parts[1:]), F.var_pop(parts[0].cast("double"))) * n
         left = F.greatest(n - F.lit(float(ddof)), F.lit(0.0))
-        out = F.when(n == 0, _NAN).when(left == 0, F.when(total > 0, F.lit(float("inf"))).otherwise(_NAN)).otherwise(total / F.when(left != 0, left))
+        out = F.when(n == 0, no_number).when(left == 0, F.when(total > 0, F.lit(float("inf"))).otherwise(no_number)).otherwise(total / F.when(left != 0, left))
         return F.sqrt(out) if function == "std" else out
     if function in ("max", "nanmax", "min", "nanmin"):
         least, skip = function.endswith("min"), function.startswith("nan")
@@ -91,12 +91,12 @@ def aggregate(function: str, dtype: np.dtype, position: Column, ddof: float = 0)
             return pick(v)
         if kind == "f":
             if skip:
-                return F.coalesce(pick(F.when(~nan, v)), _NAN.cast(spark_type(dtype)))
-            return F.when(F.bool_or(nan), _NAN.cast(spark_type(dtype))).otherwise(pick(v))
+                return F.coalesce(pick(F.when(~nan, v)), no_number.cast(spark_type(dtype)))
+            return F.when(F.bool_or(nan), no_number.cast(spark_type(dtype))).otherwise(pick(v))
         # complex numbers order by their parts; one with NaN goes before all others
         ranked = F.struct((~nan if least else nan).alias("n"), v.re.alias("re"), v.im.alias("im"))
         best = pick(F.when(~nan, ranked) if skip else ranked)
-        return F.struct(F.coalesce(best.re, _NAN.cast("float" if dtype.itemsize == 8 else "double")).alias("re"), F.coalesce(best.im, _NAN.cast("float" if dtype.itemsize == 8 else "double")).alias("im"))
+        return F.struct(F.coalesce(best.re, no_number.cast("float" if dtype.itemsize == 8 else "double")).alias("re"), F.coalesce(best.im, no_number.cast("float" if dtype.itemsize == 8 else "double")).alias("im"))
     if function in ("argmax", "argmin"):
         least = function == "argmin"
         of = [v.re, v.im] if kind == "c" else [v]
@@ -111,10 +111,10 @@ def aggregate(function: str, dtype: np.dtype, position: Column, ddof: float = 0)
     if function in ("median", "nanmedian"):
         x = _number(v, kind).cast("double")
         if function == "nanmedian":
-            return F.coalesce(F.percentile(F.when(~nan, x), 0.5), _NAN)
-        return F.when(F.bool_or(nan), _NAN).otherwise(F.coalesce(F.percentile(x, 0.5), _NAN))
+            return F.coalesce(F.percentile(F.when(~nan, x), 0.5), no_number)
+        return F.when(F.bool_or(nan), no_number).otherwise(F.coalesce(F.percentile(x, 0.5), no_number))
     if function == "ptp":
-        return F.when(F.bool_or(nan), _NAN.cast(spark_type(dtype))).otherwise(F.max(v) - F.min(v)) if kind == "f" else (F.max(v) - F.min(v)).cast(spark_type(dtype))
+        return F.when(F.bool_or(nan), no_number.cast(spark_type(dtype))).otherwise(F.max(v) - F.min(v)) if kind == "f" else (F.max(v) - F.min(v)).cast(spark_type(dtype))
     raise ValueError(f"no reduction {function!r}")
 
 
@@ -136,6 +136,11 @@ def reduce(df: DataFrame, shape: tuple[int, ...], dtype: np.dtype, function: str
         position = position * shape[a] + F.col(f"i{a}")
     out_dtype = result_dtype(function, dtype)
     value = aggregate(function, dtype, position, ddof)
+    if function == "prod" and dtype.kind in "biu":  # the Python aggregate has no answer for no rows
+        if n == 0:
+            value = F.coalesce(F.max(F.lit(None).cast("long")), F.lit(1).cast("long"))
+        elif not kept:
+            df = df.select("v").unionByName(df.sparkSession.range(1).select(F.lit(1).cast(df.schema["v"].dataType).alias("v")))
     keys = [f"i{a}" for a in kept]
     out = df.groupBy(*keys).agg(value.alias("v")) if keys else df.agg(value.alias("v"))
     if keys and n == 0:  # no element, so no group: every kept cell has the answer for nothing

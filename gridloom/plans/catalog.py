@@ -162,7 +162,7 @@ for _f, _sql in {"sum": "sum(v)", "mean": "avg(v)", "max": "max(v)", "min": "min
     _frame(f"red_{_f}_axis1", lambda s, d, f=_f: matrix(s, d).reduce(f, 1), f"SELECT i0, round({_sql.replace('(v)', '(v::DOUBLE)')}, 4) AS v FROM {_E} GROUP BY i0", 4)
 _frame("red_sum_int", lambda s, d: sizes(s, d).reduce("sum"), f"SELECT sum(v)::BIGINT AS v FROM {_PS}")
 _frame("red_sum_wrap", lambda s, d: sizes(s, d).map(lambda v: v.cast("long") * 9000000000000000, "int64").reduce("sum"), f"SELECT CAST(((sum(v::HUGEINT * 9000000000000000) + 9223372036854775808) % 18446744073709551616 + 18446744073709551616) % 18446744073709551616 - 9223372036854775808 AS BIGINT) AS v FROM {_PS}")
-_frame("red_sum_uint64", lambda s, d: sizes(s, d).map(lambda v: v.cast("decimal(20,0)") * 900000000000000000, "uint64").reduce("sum"), f"SELECT CAST(sum(v::HUGEINT * 900000000000000000) % 18446744073709551616 AS DECIMAL(20, 0)) AS v FROM {_PS}")
+_add("red_sum_uint64", lambda s, d: sizes(s, d).map(lambda v: v.cast("decimal(20,0)") * 900000000000000000, "uint64").reduce("sum").df.select(F.col("v").cast("string").alias("v")), f"SELECT CAST(sum(v::HUGEINT * 900000000000000000) % 18446744073709551616 AS VARCHAR) AS v FROM {_PS}")
 _frame("red_prod", lambda s, d: balances(s, d)[:60].map(lambda v: 1 + v / 100000).reduce("prod"), "SELECT round(product(1 + c_acctbal / 100000), 6) AS v FROM customer WHERE c_custkey < 60", 6)
 _frame("red_prod_int", lambda s, d: sizes(s, d)[:8].map(lambda v: v % 5 + 1, "int32").reduce("prod"), f"SELECT product(v % 5 + 1)::BIGINT AS v FROM {_PS} WHERE i0 < 8")
 _frame("red_prod_empty", lambda s, d: events(s, d)[5:5].reduce("prod"), "SELECT 1.0::DOUBLE AS v")
