@@ -1 +1 @@
-
+"""Element types and functions of NumPy."""

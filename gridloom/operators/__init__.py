@@ -1 +1 @@
-
+"""Selections, reductions and lazy frames."""

@@ -1 +1 @@
-
+"""Readers of array files as Spark data sources."""

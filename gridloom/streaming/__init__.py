@@ -1 +1 @@
-
+"""Arrays don't change while they are open, and there is no stream to read: nothing lives here yet."""
