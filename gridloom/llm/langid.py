@@ -107,17 +107,18 @@ class Parser:
         tables, self.roots, base = [], [], 0
         for text in learned:
             step = suffix_automaton(self._symbol[text].tolist())
-            table = np.full((len(step), width), -1, np.int64)
+            alone = len(step)  # the state after a letter that the sample lacks, which is a phrase of its own
+            table = np.full((len(step) + 1, width), -1, np.int64)
             for s, to in enumerate(step):
                 for c, t in to.items():
                     table[s, c] = t
             table[:, 1] = -1
-            restart = np.maximum(table[0], 0)
+            restart = np.where(table[0] < 0, alone, table[0])
             failed = table < 0
             table = np.where(failed, restart[None, :], table)
             tables.append((((table + base) * width) << 1 | failed).astype(np.int32))
             self.roots.append(base * width)
-            base += len(step)
+            base += len(table)
         self._table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
 
     def phrases(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

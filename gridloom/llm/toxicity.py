@@ -25,9 +25,9 @@ SAMPLE = 4_000
 SAMPLE_BYTES = 1 << 16
 #: Weights of the largest size that are kept and broadcast (12 bytes each).
 WEIGHTS = 200_000
-ALPHA, BETA, L2, EPOCHS = 2.0, 1.0, 0.01, 6
-#: L1 grows with the positive examples: a weight must be asked for by about this share of them.
-L1_SHARE, L1_LEAST = 0.01, 0.5
+ALPHA, BETA, L2, EPOCHS = 2.0, 1.0, 0.01, 8
+#: L1 is the least value and this share of the positive examples, which must ask for a weight.
+L1_SHARE, L1_LEAST = 0.01, 2.5
 _KINDS = tuple(np.uint64(x) for x in (0x8F1BBCDCBFA53E0B, 0xC2B2AE3D27D4EB4F, 0x27D4EB2F165667C5, 0x165667B19E3779F9))
 
 
@@ -69,7 +69,7 @@ class Model:
 def ftrl(examples: list[np.ndarray], labels: np.ndarray, size: int, epochs: int = EPOCHS, alpha: float = ALPHA, beta: float = BETA, l1: float | None = None, l2: float = L2) -> tuple[float, np.ndarray]:
     """Bias and weights after passes over examples of distinct feature numbers, each with value 1."""
     z, n = np.zeros(size), np.zeros(size)
-    l1 = max(L1_LEAST, L1_SHARE * float(labels.sum())) if l1 is None else l1
+    l1 = L1_LEAST + L1_SHARE * float(labels.sum()) if l1 is None else l1
     bias, grown = 0.0, 0.0
 
     def weight(z, n):
