@@ -216,7 +216,7 @@ _frame("fn_compare", lambda s, d: np.greater(holey(s, d), 50), f"SELECT i0, v >
 _frame("fn_median", lambda s, d: np.median(matrix(s, d), axis=0), f"SELECT i1 AS i0, round(quantile_cont(v::DOUBLE, 0.5), 5) AS v FROM {_E} GROUP BY i1", 5)
 _frame("fn_nanmedian", lambda s, d: np.nanmedian(holey(s, d)), f"SELECT round(quantile_cont(v, 0.5), 6) AS v FROM {_H} WHERE NOT isnan(v)", 6)
 _frame("fn_cumsum", lambda s, d: cumulative(events(s, d), 0), f"SELECT i0, round(sum(v) OVER (ORDER BY i0 ROWS UNBOUNDED PRECEDING), 3) AS v FROM {_EV}", 3)
-_frame("fn_cumsum_axis0", lambda s, d: np.cumsum(matrix(s, d)[:50], axis=0), f"SELECT i0, i1, round(sum(v::DOUBLE) OVER (PARTITION BY i1 ORDER BY i0 ROWS UNBOUNDED PRECEDING), 3) AS v FROM {_E} WHERE i0 < 50", 3)
+_frame("fn_cumsum_axis0", lambda s, d: np.cumsum(matrix(s, d)[:50], axis=0), f"SELECT i0, i1, round(CAST(CAST(sum(v::DOUBLE) OVER (PARTITION BY i1 ORDER BY i0 ROWS UNBOUNDED PRECEDING) AS FLOAT) AS DOUBLE), 3) AS v FROM {_E} WHERE i0 < 50", 3)
 _frame("fn_cumprod", lambda s, d: ArrayFrame.of_numpy(s, np.cumprod(balances(s, d)[:12].map(lambda v: 1 + v / 10000))), "SELECT c_custkey AS i0, round(exp(sum(ln(1 + c_acctbal / 10000)) OVER (ORDER BY c_custkey ROWS UNBOUNDED PRECEDING)), 6) AS v FROM customer WHERE c_custkey < 12", 6)
 _frame("fn_count_nonzero", lambda s, d: np.count_nonzero(sizes(s, d).map(lambda v: v % 3, "int32")), f"SELECT count(*) FILTER (v % 3 <> 0) AS v FROM {_PS}")
 _frame("fn_ptp", lambda s, d: np.ptp(matrix(s, d), axis=1), f"SELECT i0, round((max(v) - min(v))::DOUBLE, 5) AS v FROM {_E} GROUP BY i0", 5)
