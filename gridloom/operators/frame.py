@@ -128,8 +128,8 @@ class ArrayFrame:
             # the list is cut before it is exploded, which a filter on its positions would not be
             low, high = _bounds(found.axes[1])
             lists = self._lists
-            if isinstance(found.axes[0], (Point, Range)):
-                lists = lists.where(_within("i0", found.axes[0]))
+            rows = found.axes[0]
+            lists = lists.where(_among("i0", rows.at) if isinstance(rows, Pick) else _within("i0", rows))
             df = lists.select("i0", F.posexplode(F.slice("list", low + 1, high - low)).alias("p", "v")).select("i0", (F.col("p") + low).cast("long").alias("i1"), F.col("v").cast(spark_type(self.dtype)).alias("v"))
         return ArrayFrame(_select(df, found), found.shape, self.dtype, self.attrs, quality=self.applied_quality)
 
@@ -345,6 +345,14 @@ def _within(name: str, axis) -> Column:
     return inside if abs(axis.step) == 1 else inside & ((F.col(name) - axis.start) % axis.step == 0)
 
 
+def _among(name: str, at: tuple[int, ...]) -> Column:
+    """A filter that reaches the scan: the places of an index array if they are few, else their bounds."""
+    places = sorted(set(at))
+    if not places:
+        return F.lit(False)
+    return F.col(name).isin(places) if len(places) <= 64 else F.col(name).between(places[0], places[-1])
+
+
 def _renumbered(name: str, axis: Range) -> Column:
     shifted = F.col(name) - axis.start
     return shifted if axis.step == 1 else F.expr(f"(`{name}` - {axis.start}L) div {axis.step}")
@@ -360,8 +368,7 @@ def _select(df: DataFrame, found: Resolved) -> DataFrame:
     names = [f"i{k}" for k in range(len(found.axes))]
     picks = {k: a.at for k, a in enumerate(found.axes) if isinstance(a, Pick)}
     for k, axis in enumerate(found.axes):
-        if k not in picks:
-            df = df.where(_within(names[k], axis))
+        df = df.where(_among(names[k], picks[k]) if k in picks else _within(names[k], axis))
     if picks:
         columns = [names[k] for k in picks]
         rows = [(n, *(int(at[n]) for at in picks.values())) for n in range(found.picked)]
