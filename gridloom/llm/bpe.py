@@ -29,7 +29,7 @@ CACHED = 200_000
 #: The pre-token pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Encoded words kept by a worker for ``encode_words``, in flat arrays.
-TABLE = 600_000
+TABLE = 300_000
 _NONE = 1 << 60
 _BLANK, _SPACE, _LETTER, _NUMBER, _OTHER, _EDGE = range(6)
 _kinds: list[np.ndarray] = []

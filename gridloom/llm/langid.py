@@ -29,7 +29,7 @@ SYMBOLS, ALL_SYMBOLS = 40_000, 200_000
 LETTERS = 94
 #: Texts are parsed in windows of so many symbols, where a phrase ends at the latest.
 WINDOW = 2048
-CHUNK = 6 << 20
+CHUNK = 3 << 20
 _lower: list[np.ndarray] = []
 
 
