@@ -136,9 +136,10 @@ class TokenTree:
         return any(b & 0xC0 == 0x80 for b in self._read(leaf, place, 1))
 
     def _cut(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
-        data = np.frombuffer(text, np.uint8)
-        _, counts, starts = self.bpe.encode_words(data, np.array([0, len(data)]))
-        return starts, counts
+        """Starts and token counts of the pre-tokens of a short text, word by word."""
+        words = self.bpe._pieces(text.decode())
+        ends = np.cumsum([len(w.encode()) for w in words], dtype=np.int64)
+        return np.r_[0, ends[:-1]] if words else ends, np.array([len(self.bpe.word_ids(w)) for w in words], np.int64)
 
     def _meet(self, ends, least, begin, shift, leaf, reach, length, whole):
         """(bytes of new text, (leaf, byte, pre-token) of the old) of the first trusted boundary that both have behind the edit."""
