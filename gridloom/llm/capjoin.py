@@ -40,25 +40,28 @@ def clean(value) -> np.ndarray | None:
     return v if len(v) and np.isfinite(v).all() and v.any() else None
 
 
-def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(vec_id, embedding) to (vec_id, unit): bytes of the unit vector, null where it links with nothing."""
-    for batch in batches:
-        column = batch.column(1)
-        flat, n = column.flatten(), batch.num_rows
-        size = len(flat) // n if n else 0
-        if n and not column.null_count and not flat.null_count and size and len(flat) == size * n and (np.diff(column.offsets.to_numpy()) == size).all():
-            v = flat.to_numpy().reshape(n, size).astype(np.float64)
-            scale = np.abs(v).max(axis=1)
-            fine = np.isfinite(scale) & (scale > 0)
-            v = v / np.where(fine, scale, 1)[:, None]
-            v /= np.maximum(np.linalg.norm(v, axis=1), 1e-300)[:, None]
-            own = [row.tobytes() if ok else None for row, ok in zip(v, fine)]
-        else:
-            own = []
-            for x in map(clean, column.to_pylist()):
-                x = x if x is None else x / np.abs(x).max()
-                own.append(None if x is None else (x / np.linalg.norm(x)).tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary())], ["vec_id", "unit"])
+def _units(kind: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(vec_id, embedding) to (vec_id, unit): the components' bytes, null where the vector links with nothing."""
+        for batch in batches:
+            column = batch.column(1)
+            flat, n = column.flatten(), batch.num_rows
+            size = len(flat) // n if n else 0
+            if n and not column.null_count and not flat.null_count and size and len(flat) == size * n and (np.diff(column.offsets.to_numpy()) == size).all():
+                v = flat.to_numpy().astype(kind).reshape(n, size) + 0  # -0.0 becomes 0.0
+                own = [row.tobytes() if ok else None for row, ok in zip(v, np.isfinite(v).all(axis=1) & v.any(axis=1))]
+            else:
+                own = [None if x is None else (x.astype(kind) + 0).tobytes() for x in map(clean, column.to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary())], ["vec_id", "unit"])
+
+    return run
+
+
+def scaled(values: list[bytes], kind: str) -> np.ndarray:
+    """Vectors of one length in double precision, at length 1."""
+    v = np.frombuffer(b"".join(values), kind).reshape(len(values), -1).astype(np.float64)
+    v /= np.abs(v).max(axis=1, keepdims=True)
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
 class Caps:
@@ -105,16 +108,16 @@ def _caps_for(dim: int, n: int) -> Caps:
     return _caps[dim, n]
 
 
-def _filters(n: int, whole: bool):
+def _filters(n: int, whole: bool, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             units = batch.column(2).to_pylist()
-            sizes = np.array([len(u) // 8 for u in units], np.int64)
+            sizes = np.array([len(u) // np.dtype(kind).itemsize for u in units], np.int64)
             for dim in np.unique(sizes).tolist():
                 at = np.flatnonzero(sizes == dim)
                 for low in range(0, len(at), 2048):
                     some = at[low : low + 2048]
-                    row, code = _caps_for(dim, n).decode(np.frombuffer(b"".join(units[i] for i in some), np.float64).reshape(-1, dim))
+                    row, code = _caps_for(dim, n).decode(scaled([units[i] for i in some], kind))
                     code = mix(code.astype(np.uint64) + np.uint64(dim << 48)).view(np.int64)  # no filter of another length is the same
                     if not whole:
                         key, count = np.unique(code, return_counts=True)
@@ -130,15 +133,16 @@ def _filters(n: int, whole: bool):
     return run
 
 
-def _least_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Least number in both of each two rows, padded to the largest number."""
-    out = np.full(len(a), np.iinfo(np.int64).max)
-    for k in range(a.shape[1]):
-        out = np.minimum(out, np.where((b == a[:, k : k + 1]).any(axis=1), a[:, k], out))
-    return out
+def _share_less(filters: list[np.ndarray], than: int) -> np.ndarray:
+    """Whether two vectors share a filter that is less than ``than``."""
+    less = [f[f < than] for f in filters]
+    every, which = np.unique(np.concatenate(less), return_inverse=True)
+    marks = np.zeros((len(filters), len(every)), np.float32)
+    marks[np.repeat(np.arange(len(filters)), [len(f) for f in less]), which] = 1
+    return marks @ marks.T > 0
 
 
-def _verify(threshold: float):
+def _verify(threshold: float, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, at in in_groups(batches, ["filter", "low", "high"]):
             of, ids, copies, block, low, high = (table.column(c).to_numpy() for c in ("filter", "id", "copies", "block", "low", "high"))
@@ -147,7 +151,7 @@ def _verify(threshold: float):
             for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
                 if b - a < 2:
                     continue
-                v = np.frombuffer(b"".join(units[a:b]), np.float64).reshape(b - a, -1)
+                v = scaled(units[a:b], kind)
                 linked = v @ v.T >= threshold
                 np.fill_diagonal(linked, False)
                 if low[a] != high[a]:
@@ -156,18 +160,8 @@ def _verify(threshold: float):
                 if not len(some):
                     continue
                 linked = linked[np.ix_(some, some)]
-                most = max(len(lists[a + k]) // 8 for k in some)
-                own = np.full((len(some), most), np.iinfo(np.int64).max)
-                for k, s in enumerate(some):
-                    f = np.frombuffer(lists[a + s], np.int64)
-                    own[k, : len(f)] = f
-                links = np.zeros(len(some), np.int64)
-                i, j = np.nonzero(np.triu(linked))
-                for cut in range(0, len(i), 1 << 16):
-                    x, y = i[cut : cut + (1 << 16)], j[cut : cut + (1 << 16)]
-                    here = _least_shared(own[x], own[y]) == of[a]
-                    x, y = x[here], y[here]
-                    links += np.bincount(x, copies[a:b][some[y]], len(some)).astype(np.int64) + np.bincount(y, copies[a:b][some[x]], len(some)).astype(np.int64)
+                first = linked & ~_share_less([np.frombuffer(lists[a + s], np.int64) for s in some], int(of[a]))
+                links = (first @ copies[a:b][some]).astype(np.int64)
                 out.append((ids[a:b][some], links, ids[a:b][some[roots_of(linked)]]))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*out)], ["id", "links", "root"])
@@ -184,19 +178,20 @@ def near_vectors(vectors: DataFrame, store: Store, threshold: float = THRESHOLD)
     one and count as linked with each other. Ids tell vectors apart. A null id has component_id
     null and is never kept.
     """
-    units = store.keep(vectors.select("vec_id", "embedding").mapInArrow(_units, "vec_id long, unit binary").withColumns({"h1": F.xxhash64("unit"), "h2": F.xxhash64(F.lit(1), "unit")}), "units")
+    kind = "f4" if dict(vectors.dtypes)["embedding"] == "array<float>" else "f8"
+    units = store.keep(vectors.select("vec_id", "embedding").mapInArrow(_units(kind), "vec_id long, unit binary").withColumns({"h1": F.xxhash64("unit"), "h2": F.xxhash64(F.lit(1), "unit")}), "units")
     fine = units.where(F.col("unit").isNotNull())
     same = fine.groupBy("h1", "h2").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")).where(F.col("id").isNotNull())
     same = store.keep(same, "classes")
     n = same.count()
     own = store.keep(same.join(fine.select(F.col("vec_id").alias("id"), "h1", "h2", "unit"), ["id", "h1", "h2"]).dropDuplicates(["id"]).select("id", "copies", "unit"), "own")
-    counts = own.mapInArrow(_filters(n, False), "filter long, n long").groupBy("filter").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks")).where("blocks > 1")
+    counts = own.mapInArrow(_filters(n, False, kind), "filter long, n long").groupBy("filter").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks")).where("blocks > 1")
     blocks = F.coalesce("blocks", F.lit(1)).cast("long")
-    rows = own.mapInArrow(_filters(n, True), "filter long, id long, copies long, unit binary, filters binary").join(counts, "filter", "left")
+    rows = own.mapInArrow(_filters(n, True, kind), "filter long, id long, copies long, unit binary, filters binary").join(counts, "filter", "left")
     dealt = rows.withColumns({"block": F.pmod(F.xxhash64("id"), blocks), "other": F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))}).select(
         "filter", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "id", "copies", "block", "unit", "filters"
     )
-    verified = store.keep(grouped(dealt, ["filter", "low", "high"], _verify(threshold), "id long, links long, root long"), "verified")
+    verified = store.keep(grouped(dealt, ["filter", "low", "high"], _verify(threshold, kind), "id long, links long, root long"), "verified")
     links = verified.groupBy("id").agg(F.sum("links").alias("links"))
     found = connected_components(verified.select(F.col("id").alias("a"), F.col("root").alias("b")), store)
     by_class = same.join(links.join(found, "id", "left"), "id", "left")
