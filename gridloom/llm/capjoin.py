@@ -1,9 +1,11 @@
 """Near-duplicate vectors by spherical-cap filters.
 
 Filter directions are the products of one random codeword for each block of a
-random rotation of the coordinates. A vector is list-decoded to every direction
-that it exceeds the cap's height with: partial sums over the blocks are extended
-codeword by codeword and dropped as soon as the rest can't reach the height.
+random rotation of the coordinates. A vector is list-decoded to its best
+directions: partial sums over the blocks are extended codeword by codeword and
+dropped as soon as the rest can't reach the vector's own height, the score of its
+last direction, so that no vector is without one. How many each takes is chosen
+by the recall of random pairs at the threshold under the very code.
 Vectors that share a filter are compared in double precision, in blocks of
 bounded size; a linked pair counts only in the least filter that both exceed.
 """
@@ -28,6 +30,8 @@ THRESHOLD = 0.95
 PASSED, HELD = 26, 256
 #: Codewords of a block at most; more filters take more blocks.
 WORDS = 256
+#: Share of random pairs at the threshold that have to share a filter, pairs that are tried, and filters of a vector, as a multiple of PASSED, before a coarser code is taken.
+RECALL, PAIRS, MOST = 0.99, 400, 8
 #: Vectors of a filter that are compared in one group, with as many others at most.
 BLOCK = 1024
 
@@ -69,21 +73,67 @@ class Caps:
 
     def __init__(self, dim: int, n: int, passed: float = PASSED, held: float = HELD):
         want = max(4 * passed, n * passed / held)
-        self.blocks = min(dim, max(1 if dim == 1 else 2, math.ceil(math.log(want) / math.log(WORDS))))
-        self.words = max(2, math.ceil(want ** (1 / self.blocks)))
+        self.blocks = min(max(1, dim // 2), max(2, math.ceil(math.log(want) / math.log(WORDS))))
+        self.words = max(2, min(WORDS, math.ceil(want ** (1 / self.blocks)))) if dim > 1 else 2
+        self.cuts = [round(dim * k / self.blocks) for k in range(self.blocks + 1)]
+        while True:
+            self._draw(dim, passed)
+            self.taken = self._enough(passed)
+            if self.taken:
+                break
+            self.words = max(2, self.words * 3 // 4)
+
+    def _draw(self, dim: int, passed: float) -> None:
         self.height = NormalDist().inv_cdf(1 - min(0.5, passed / self.words**self.blocks)) / math.sqrt(dim)
         rng = np.random.default_rng(dim)
         self.rotation = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
-        self.cuts = [round(dim * k / self.blocks) for k in range(self.blocks + 1)]
         self.codes = []
         for a, b in zip(self.cuts, self.cuts[1:]):
             code = rng.standard_normal((self.words, b - a))
             self.codes.append(code / np.linalg.norm(code, axis=1, keepdims=True) * math.sqrt((b - a) / dim))
 
-    def decode(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, filter) of every filter that each row exceeds, in order."""
+    def _enough(self, passed: float) -> int:
+        """Filters that each vector takes for ``RECALL``; 0 where a sensible number doesn't do."""
+        most, taken = self.words**self.blocks, math.ceil(passed)
+        if most <= 2 * taken or len(self.rotation) == 1:
+            return most  # few enough to take them all
+        rng = np.random.default_rng(len(self.rotation) + 1)
+        x, y = rng.standard_normal((2, PAIRS, len(self.rotation)))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        y -= (x * y).sum(axis=1, keepdims=True) * x
+        y = THRESHOLD * x + math.sqrt(1 - THRESHOLD**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+        while taken <= MOST * passed:
+            row, code = self.decode(np.concatenate([x, y]), self.heights(np.concatenate([x, y]), taken))
+            seen = np.unique(np.stack([row % PAIRS, code, row // PAIRS]), axis=1)
+            both = (seen[:2, 1:] == seen[:2, :-1]).all(axis=0) if seen.shape[1] > 1 else np.zeros(0, bool)
+            if len(np.unique(seen[0, 1:][both])) >= RECALL * PAIRS:
+                return taken
+            taken *= 2
+        return 0
+
+    def _parts(self, units: np.ndarray) -> list[np.ndarray]:
         turned = units @ self.rotation
-        parts = [turned[:, a:b] @ code.T for (a, b), code in zip(zip(self.cuts, self.cuts[1:]), self.codes)]
+        return [turned[:, a:b] @ code.T for (a, b), code in zip(zip(self.cuts, self.cuts[1:]), self.codes)]
+
+    def heights(self, units: np.ndarray, taken: int | None = None) -> np.ndarray:
+        """The score of each row's last filter of ``taken``, less what rounding may take."""
+        taken, parts, out = min(taken or self.taken, self.words**self.blocks), self._parts(units), []
+        size = max(1, (1 << 20) // taken**2)
+        for low in range(0, len(units), size):
+            best = np.zeros((len(units[low : low + size]), 1))
+            for part in parts:  # a total among the best has a partial sum among the best
+                k = min(taken, self.words)
+                own = -np.partition(-part[low : low + size], k - 1, axis=1)[:, :k]
+                best = (best[:, :, None] + own[:, None, :]).reshape(len(best), -1)
+                k = min(taken, best.shape[1])
+                best = -np.partition(-best, k - 1, axis=1)[:, :k]
+            out.append(best.min(axis=1))
+        return np.concatenate([np.zeros(0), *out]) - 1e-12
+
+    def decode(self, units: np.ndarray, height: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(row, filter) of every filter that each row exceeds, at ``height`` or each row's own, in order."""
+        parts = self._parts(units)
+        height = np.full(len(units), self.height) if height is None else height
         rest = np.zeros((self.blocks + 1, len(units)))
         for k in range(self.blocks - 1, -1, -1):
             rest[k] = rest[k + 1] + parts[k].max(axis=1)
@@ -93,7 +143,7 @@ class Caps:
             for low in range(0, len(row), 4096):
                 cut = slice(low, low + 4096)
                 sums = total[cut, None] + part[row[cut]]
-                i, w = np.nonzero(sums + rest[k + 1][row[cut], None] >= self.height)
+                i, w = np.nonzero(sums + rest[k + 1][row[cut], None] >= height[row[cut], None])
                 found.append((row[cut][i], code[cut][i] * self.words + w, sums[i, w]))
             row, code, total = (np.concatenate(x) for x in zip(*found)) if found else (row, code, total)
         return row, code
@@ -117,7 +167,8 @@ def _filters(n: int, whole: bool, kind: str):
                 at = np.flatnonzero(sizes == dim)
                 for low in range(0, len(at), 2048):
                     some = at[low : low + 2048]
-                    row, code = _caps_for(dim, n).decode(scaled([units[i] for i in some], kind))
+                    caps, v = _caps_for(dim, n), scaled([units[i] for i in some], kind)
+                    row, code = caps.decode(v, caps.heights(v))
                     code = mix(code.astype(np.uint64) + np.uint64(dim << 48)).view(np.int64)  # no filter of another length is the same
                     if not whole:
                         key, count = np.unique(code, return_counts=True)

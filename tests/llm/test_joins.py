@@ -217,3 +217,20 @@ def test_filters_are_all_found():
 def test_more_vectors_take_more_filters(n, blocks):
     caps = capjoin.Caps(64, n)
     assert caps.blocks <= blocks and caps.words <= capjoin.WORDS and caps.words**caps.blocks >= n * capjoin.PASSED / capjoin.HELD
+
+
+@pytest.mark.parametrize("dim,n", [(4, 10**5), (8, 10**6), (16, 10**6), (64, 10**5), (64, 10**6), (64, 5 * 10**6)])
+def test_recall_at_the_threshold(dim, n):
+    caps = capjoin._caps_for(dim, n)
+    rng = np.random.default_rng(7)
+    x, y = rng.standard_normal((2, 500, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (x * y).sum(axis=1, keepdims=True) * x
+    y = 0.95 * x + (1 - 0.95**2) ** 0.5 * y / np.linalg.norm(y, axis=1, keepdims=True)
+    u = np.concatenate([x, y])
+    row, code = caps.decode(u, caps.heights(u))
+    found = [set() for _ in u]
+    for r, c in zip(row.tolist(), code.tolist()):
+        found[r].add(c)
+    assert all(found)  # each vector has filters
+    assert np.mean([bool(found[k] & found[k + 500]) for k in range(500)]) > 0.95
