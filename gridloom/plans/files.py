@@ -10,6 +10,7 @@ import warnings
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridloom.operators.frame import ArrayFrame, FallbackWarning, set_policy
@@ -56,20 +57,93 @@ def _hdf5(path: str, a: np.ndarray) -> None:
 
 
 npy_file, zarr_file, hdf5_file = _file("e.npy", np.save), _file("t.zarr", _tree), _file("t.h5", _hdf5)
+
+
+def _shared_folder(spark: SparkSession, sf_dir: str) -> str:
+    """A folder for the files of whole tables: under ``spark.checkpoint.dir``, which all executors share, where it is set."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    key = f"{root or ''}|{sf_dir}"
+    if key not in _made:
+        root = root and root.removeprefix("file://")
+        if root:
+            os.makedirs(root, exist_ok=True)
+        _made[key] = tempfile.mkdtemp(prefix="gridloom-arrays-", dir=root or None)
+        os.chmod(_made[key], 0o755)
+        atexit.register(shutil.rmtree, _made[key], True)
+    return _made[key]
+
+
+def _rows_into(path: str):
+    def run(batches):
+        for batch in batches:
+            at = batch.column(0).to_numpy()
+            if len(at):
+                out = np.load(path, mmap_mode="r+")
+                out[at] = batch.column(1).flatten().to_numpy().reshape(len(at), out.shape[1])
+                out.flush()
+            yield pa.RecordBatch.from_arrays([pa.array([len(at)], pa.int64())], ["n"])
+
+    return run
+
+
+def _whole_npy(spark: SparkSession, sf_dir: str) -> str:
+    """The whole of E as a file; each task writes its own rows, so E is never in one memory."""
+    path = os.path.join(_shared_folder(spark, sf_dir), "e.npy")
+    if not os.path.exists(path):
+        shape, made = matrix(spark, sf_dir).shape, f"{path}.part"
+        with open(made, "wb") as f:
+            np.lib.format.write_array_header_1_0(f, {"descr": "<f4", "fortran_order": False, "shape": shape})
+            f.truncate(f.tell() + 4 * shape[0] * shape[1])
+        if shape[0]:
+            spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding").mapInArrow(_rows_into(made), "n long").agg(F.sum("n")).collect()
+        os.rename(made, path)
+    return path
+
+
+def _whole(name: str, write: Callable[[str, np.ndarray], None] | None = None) -> Callable[[SparkSession, str], ArrayFile]:
+    """A file of the whole of E; ``write`` gets E mapped from a file and takes a chunk at a time."""
+
+    def opened(spark: SparkSession, sf_dir: str) -> ArrayFile:
+        source = _whole_npy(spark, sf_dir)
+        path = os.path.join(os.path.dirname(source), name)
+        if not os.path.exists(path):
+            made = os.path.join(os.path.dirname(source), f"part-{name}")
+            write(made, np.load(source, mmap_mode="r") if os.path.getsize(source) > 128 else np.load(source))
+            os.rename(made, path)
+        return open_array(spark, path)
+
+    return opened
+
+
+whole_npy, whole_zarr, whole_hdf5 = _whole("e.npy"), _whole("t.zarr", _tree), _whole("t.h5", _hdf5)
 _P = f"(SELECT i0, i1, v FROM {_E} WHERE i0 < 90)"
 _CUT = f"SELECT i0 - 10 AS i0, i1 // 3 AS i1, v FROM {_P} WHERE i0 BETWEEN 10 AND 69 AND i1 % 3 = 0"
 _HOLES = f"SELECT i0, i1, CASE WHEN i0 BETWEEN 30 AND 59 THEN -1::FLOAT ELSE v END AS v FROM {_P}"
 
-_frame("scan_npy", lambda s, d: npy_file(s, d)["array"][10:70, ::3], _CUT)
-_frame("scan_zarr", lambda s, d: zarr_file(s, d)["g/e"][10:70, ::3], _CUT)
-_frame("scan_zarr_sharded", lambda s, d: zarr_file(s, d)["shards"][10:70, ::3], _CUT)
+_frame("scan_npy", lambda s, d: whole_npy(s, d)["array"][10:70, ::3], _CUT)
+_frame("scan_zarr", lambda s, d: whole_zarr(s, d)["g/e"][10:70, ::3], _CUT)
+_frame("scan_zarr_sharded", lambda s, d: whole_zarr(s, d)["shards"][10:70, ::3], _CUT)
 _frame("scan_zarr_fill", lambda s, d: zarr_file(s, d)["holes"], _HOLES)
-_frame("scan_hdf5", lambda s, d: hdf5_file(s, d)["g/plain"][10:70, ::3], _CUT)
-_frame("scan_hdf5_chunked", lambda s, d: hdf5_file(s, d)["chunked"][10:70, ::3], _CUT)
+_frame("scan_hdf5", lambda s, d: whole_hdf5(s, d)["g/plain"][10:70, ::3], _CUT)
+_frame("scan_hdf5_chunked", lambda s, d: whole_hdf5(s, d)["chunked"][10:70, ::3], _CUT)
 _frame("scan_hdf5_fill", lambda s, d: hdf5_file(s, d)["holes"], _HOLES)
 _frame("scan_null", lambda s, d: open_array(s, "uint8:1000x7@250", format="null")["array"][::10], "SELECT range // 70 AS i0, range % 7 AS i1, CAST(range % 250 AS SMALLINT) AS v FROM range(7000) WHERE (range // 7) % 10 = 0")
 _frame("red_file", lambda s, d: hdf5_file(s, d)["chunked"].reduce("mean", 0), f"SELECT i1 AS i0, round(avg(v::DOUBLE), 5) AS v FROM {_P} GROUP BY i1", 5)
 
+# the same files without a bound on their rows
+
+_WHOLE = f"SELECT i0, i1, v FROM {_E}"
+_ALL_HOLES = f"SELECT i0, i1, CASE WHEN i0 BETWEEN 30 AND 59 THEN -1::FLOAT ELSE v END AS v FROM {_E}"
+
+_frame("scan_npy_whole", lambda s, d: whole_npy(s, d)["array"], _WHOLE)
+_frame("scan_zarr_whole", lambda s, d: whole_zarr(s, d)["g/e"], _WHOLE)
+_frame("scan_zarr_sharded_whole", lambda s, d: whole_zarr(s, d)["shards"], _WHOLE)
+_frame("scan_zarr_fill_whole", lambda s, d: whole_zarr(s, d)["holes"], _ALL_HOLES)
+_frame("scan_hdf5_whole", lambda s, d: whole_hdf5(s, d)["g/plain"], _WHOLE)
+_frame("scan_hdf5_chunked_whole", lambda s, d: whole_hdf5(s, d)["chunked"], _WHOLE)
+_frame("scan_hdf5_fill_whole", lambda s, d: whole_hdf5(s, d)["holes"], _ALL_HOLES)
+_frame("red_file_whole", lambda s, d: whole_hdf5(s, d)["chunked"].reduce("mean", 0), f"SELECT i1 AS i0, round(CAST(CAST(avg(v::DOUBLE) AS FLOAT) AS DOUBLE), 5) AS v FROM {_E} GROUP BY i1", 5)
+
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of a grid of (32, 16) that [40:90, 20:30] meets."""

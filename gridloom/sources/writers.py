@@ -81,16 +81,14 @@ class Hdf5Writer:
     """Superblock 0, symbol tables, version 1 headers: what old and common libraries write.
 
     ``tree`` maps names to dicts (groups) or to (array, options); options are
-    chunks, filters (numbers), fill, skip and attrs.
+    chunks, filters (numbers), fill, skip and attrs. What is put goes to the file
+    at once, so arrays mapped from a file are never held.
     """
 
-    def __init__(self):
-        self.out = bytearray(96)
-
-    def put(self, raw: bytes) -> int:
-        self.out += b"\0" * (-len(self.out) % 8)
-        at = len(self.out)
-        self.out += raw
+    def put(self, raw) -> int:
+        self.file.write(b"\0" * (-self.file.tell() % 8))
+        at = self.file.tell()
+        self.file.write(raw)
         return at
 
     def header(self, messages: list[tuple[int, bytes]]) -> int:
@@ -138,7 +136,7 @@ class Hdf5Writer:
             raw = np.asarray(fill, a.dtype).tobytes()
             messages.append((0x05, struct.pack("<BBBBI", 2, 2, 0, 1, len(raw)) + raw))
         if chunks is None:
-            at = self.put(a.tobytes()) if not skip else (1 << 64) - 1
+            at = self.put(np.ascontiguousarray(a)) if not skip else (1 << 64) - 1
             messages.append((0x08, struct.pack("<BBQQ", 3, 1, at, a.nbytes)))
         else:
             keys = []
@@ -174,7 +172,9 @@ class Hdf5Writer:
         return self.header([(0x11, struct.pack("<QQ", tree_at, heap_at)), *self.attributes(attrs or {})])
 
     def save(self, path: str, tree: dict, attrs: dict | None = None) -> None:
-        root = self.group(tree, attrs)
-        self.out[:96] = b"\x89HDF\r\n\x1a\n" + struct.pack("<BBBBBBBBHHI", 0, 0, 0, 0, 0, 8, 8, 0, 4, 16, 0) + struct.pack("<QQQQ", 0, (1 << 64) - 1, len(self.out), (1 << 64) - 1) + struct.pack("<QQII16x", 0, root, 0, 0)
-        with open(path, "wb") as f:
-            f.write(self.out)
+        with open(path, "wb") as self.file:
+            self.put(bytes(96))
+            root = self.group(tree, attrs)
+            end = self.file.tell()
+            self.file.seek(0)
+            self.file.write(b"\x89HDF\r\n\x1a\n" + struct.pack("<BBBBBBBBHHI", 0, 0, 0, 0, 0, 8, 8, 0, 4, 16, 0) + struct.pack("<QQQQ", 0, (1 << 64) - 1, end, (1 << 64) - 1) + struct.pack("<QQII16x", 0, root, 0, 0))

@@ -36,3 +36,8 @@ def test_entry():
     import __spark_entry__ as e
 
     assert set(ORACLES) <= set(e.oracle_sql()) <= set(e.queries()) and set(QUERIES) == set(ORACLES)
+
+
+@pytest.mark.parametrize("name", ["scan_npy_whole", "scan_zarr_whole", "scan_zarr_sharded_whole", "scan_zarr_fill_whole", "scan_hdf5_whole", "scan_hdf5_chunked_whole", "scan_hdf5_fill_whole"])
+def test_files_hold_all_rows(spark, duck, name):
+    assert QUERIES[name](spark, FOLDER).count() == 64 * duck.sql("select count(*) from embeddings").fetchall()[0][0]
