@@ -115,6 +115,8 @@ def dispatch(function, args, kwargs):
             return first.reduce(name, **more)
     if function is np.cumsum and isinstance(first, ArrayFrame) and first.dtype.kind in "biuf" and first.dtype.name != "uint64" and set(kwargs) <= {"axis"}:
         return cumulative(first, kwargs.get("axis", args[1] if len(args) > 1 else None))
+    if function is np.cumprod and isinstance(first, ArrayFrame) and first.dtype.name in ("float32", "float64") and set(kwargs) <= {"axis"} and len(args) <= 2:
+        return cumulative(first, kwargs.get("axis", args[1] if len(args) > 1 else None), True)
     if function in (np.sort, np.argsort) and isinstance(first, ArrayFrame) and first.dtype.kind in "biuf" and set(kwargs) <= {"axis"}:
         return ordered(first, kwargs.get("axis", args[1] if len(args) > 1 else -1), function is np.argsort)
     if function is np.concatenate and all(isinstance(a, ArrayFrame) for a in first) and set(kwargs) <= {"axis"}:
@@ -124,27 +126,28 @@ def dispatch(function, args, kwargs):
     return function(*collected(list(args)), **collected(tuple(kwargs.values())) and {k: collected(v) for k, v in kwargs.items()} or {})
 
 
-def cumulative(a: ArrayFrame, axis) -> ArrayFrame:
-    """Running sums along an axis, or over the whole array in C order.
+def cumulative(a: ArrayFrame, axis, product: bool = False) -> ArrayFrame:
+    """Running sums, or products of floats, along an axis, or over the whole array in C order.
 
-    Sums of blocks of ``BLOCK`` places are summed in order first; then each block
+    Blocks of ``BLOCK`` places are summed in order first; then each block
     runs on its own, so a long vector is no single task.
     """
     if axis is None:
         a, axis = a.reshape(a.size), 0
     axis = reduced_axes(axis, a.ndim)[0]
     others = [f"i{k}" for k in range(a.ndim) if k != axis]
-    dtype = result_dtype("sum", a.dtype)
+    dtype = result_dtype("prod" if product else "sum", a.dtype)
+    total, join = (F.product, lambda x, y: x * y) if product else (F.sum, lambda x, y: x + y)
     v = F.col("v").cast("double" if a.dtype.kind == "f" else "long")
     rows = a.df.withColumn("block", F.expr(f"i{axis} div {BLOCK}"))
-    run = F.sum(v).over(Window.partitionBy(*others, "block").orderBy(f"i{axis}").rowsBetween(Window.unboundedPreceding, 0))
+    run = total(v).over(Window.partitionBy(*others, "block").orderBy(f"i{axis}").rowsBetween(Window.unboundedPreceding, 0))
     if a.shape[axis] <= BLOCK:
         return ArrayFrame(rows.select(*(f"i{k}" for k in range(a.ndim)), run.cast(spark_type(dtype)).alias("v")), a.shape, dtype)
-    blocks = rows.groupBy(*others, "block").agg(F.sum(v).alias("s"))
-    ahead = F.sum("s").over(Window.partitionBy(*others).orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
-    before = blocks.select(*others, "block", F.coalesce(ahead, F.lit(0)).alias("before"))
+    blocks = rows.groupBy(*others, "block").agg(total(v).alias("s"))
+    ahead = total("s").over(Window.partitionBy(*others).orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    before = blocks.select(*others, "block", F.coalesce(ahead, F.lit(1 if product else 0)).alias("before"))
     out = rows.withColumn("run", run).join(before, [*others, "block"])
-    return ArrayFrame(out.select(*(f"i{k}" for k in range(a.ndim)), (F.col("run") + F.col("before")).cast(spark_type(dtype)).alias("v")), a.shape, dtype)
+    return ArrayFrame(out.select(*(f"i{k}" for k in range(a.ndim)), join(F.col("run"), F.col("before")).cast(spark_type(dtype)).alias("v")), a.shape, dtype)
 
 
 def ordered(a: ArrayFrame, axis, places: bool) -> ArrayFrame:

@@ -7,8 +7,11 @@ an empty group becomes NumPy's answer, and NaN follows NumPy's rules.
 
 from __future__ import annotations
 
+import decimal
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from gridloom.functions.dtypes import result_dtype, spark_type, wrapped
@@ -48,6 +51,15 @@ def _wrapping_product(v: pd.Series) -> int:
         return int(np.multiply.reduce(np.array([int(x) % (1 << 64) for x in v], np.uint64)).astype(np.int64))
 
 
+def _partial_products(batches):
+    """One wrapping product for each task's rows, so that a long array doesn't meet in one task."""
+    out = 1
+    for batch in batches:
+        for x in batch.column(0).to_pylist():
+            out = out * int(x) % (1 << 64)
+    yield pa.RecordBatch.from_arrays([pa.array([decimal.Decimal(out)], pa.decimal128(20, 0))], ["v"])
+
+
 def aggregate(function: str, dtype: np.dtype, position: Column, ddof: float = 0) -> Column:
     """The aggregate of column v; ``position`` is the place that arg-extremes answer with."""
     v, kind = F.col("v"), dtype.kind
@@ -141,6 +153,9 @@ def reduce(df: DataFrame, shape: tuple[int, ...], dtype: np.dtype, function: str
             value = F.coalesce(F.max(F.lit(None).cast("long")), F.lit(1).cast("long"))
         elif not kept:
             df = df.select("v").unionByName(df.sparkSession.range(1).select(F.lit(1).cast(df.schema["v"].dataType).alias("v")))
+            df = df.select(_number(F.col("v"), dtype.kind).cast("decimal(20,0)").alias("v")).mapInArrow(_partial_products, "v decimal(20,0)")
+            value = _wrapping_product(F.col("v"))
+            value = wrapped(value.cast("decimal(38,0)"), True) if dtype.kind == "u" else value
     keys = [f"i{a}" for a in kept]
     out = df.groupBy(*keys).agg(value.alias("v")) if keys else df.agg(value.alias("v"))
     if keys and n == 0:  # no element, so no group: every kept cell has the answer for nothing

@@ -217,7 +217,7 @@ _frame("fn_median", lambda s, d: np.median(matrix(s, d), axis=0), f"SELECT i1 AS
 _frame("fn_nanmedian", lambda s, d: np.nanmedian(holey(s, d)), f"SELECT round(quantile_cont(v, 0.5), 6) AS v FROM {_H} WHERE NOT isnan(v)", 6)
 _frame("fn_cumsum", lambda s, d: cumulative(events(s, d), 0), f"SELECT i0, round(sum(v) OVER (ORDER BY i0 ROWS UNBOUNDED PRECEDING), 3) AS v FROM {_EV}", 3)
 _frame("fn_cumsum_axis0", lambda s, d: np.cumsum(matrix(s, d)[:50], axis=0), f"SELECT i0, i1, round(CAST(CAST(sum(v::DOUBLE) OVER (PARTITION BY i1 ORDER BY i0 ROWS UNBOUNDED PRECEDING) AS FLOAT) AS DOUBLE), 3) AS v FROM {_E} WHERE i0 < 50", 3)
-_frame("fn_cumprod", lambda s, d: ArrayFrame.of_numpy(s, np.cumprod(balances(s, d)[:12].map(lambda v: 1 + v / 10000))), "SELECT c_custkey AS i0, round(exp(sum(ln(1 + c_acctbal / 10000)) OVER (ORDER BY c_custkey ROWS UNBOUNDED PRECEDING)), 6) AS v FROM customer WHERE c_custkey < 12", 6)
+_frame("fn_cumprod", lambda s, d: np.cumprod(balances(s, d)[:12].map(lambda v: 1 + v / 10000)), "SELECT c_custkey AS i0, round(exp(sum(ln(1 + c_acctbal / 10000)) OVER (ORDER BY c_custkey ROWS UNBOUNDED PRECEDING)), 6) AS v FROM customer WHERE c_custkey < 12", 6)
 _frame("fn_count_nonzero", lambda s, d: np.count_nonzero(sizes(s, d).map(lambda v: v % 3, "int32")), f"SELECT count(*) FILTER (v % 3 <> 0) AS v FROM {_PS}")
 _frame("fn_ptp", lambda s, d: np.ptp(matrix(s, d), axis=1), f"SELECT i0, round((max(v) - min(v))::DOUBLE, 5) AS v FROM {_E} GROUP BY i0", 5)
 _frame("fn_sort", lambda s, d: np.sort(matrix(s, d), axis=0), f"SELECT row_number() OVER (PARTITION BY i1 ORDER BY v, i0) - 1 AS i0, i1, v FROM {_E}")
@@ -279,3 +279,20 @@ def _filled(spark: SparkSession, sf_dir: str) -> ArrayFrame:
 
 _frame("scan_fill", _filled, "SELECT range AS i0, coalesce(quality, -1)::INTEGER AS v FROM range((SELECT max(doc_id) + 1 FROM documents)) LEFT JOIN labels ON doc_id = range")
 _frame("reshape", lambda s, d: matrix(s, d)[:32].reshape(4, 8, 64), f"SELECT i0 // 8 AS i0, i0 % 8 AS i1, i1 AS i2, v FROM {_E} WHERE i0 < 32")
+
+# the same operators over whole arrays; factors are scaled by the length, so that products stay finite
+
+
+def _factors(spark: SparkSession, sf_dir: str) -> ArrayFrame:
+    a = balances(spark, sf_dir)
+    return a.map(lambda v: 1 + v / (1000.0 * a.size))
+
+
+_FACTORS = "(SELECT c_custkey AS i0, 1 + c_acctbal / (1000.0::DOUBLE * (SELECT max(c_custkey) + 1 FROM customer)) AS v FROM customer)"
+_ODD = "list_reduce(list_prepend(1::HUGEINT, list((v * 2 + 1)::HUGEINT)), lambda x, y: (x * y) % 18446744073709551616)"
+_frame("red_prod_whole", lambda s, d: _factors(s, d).reduce("prod"), f"SELECT round(product(v), 6) AS v FROM {_FACTORS}", 6)
+_frame("red_prod_int_whole", lambda s, d: sizes(s, d).map(lambda v: v * 2 + 1, "int32").reduce("prod"), f"SELECT CAST(CASE WHEN p >= 9223372036854775808 THEN p - 18446744073709551616 ELSE p END AS BIGINT) AS v FROM (SELECT {_ODD} AS p FROM {_PS})")
+_frame("fn_cumsum_axis0_whole", lambda s, d: np.cumsum(matrix(s, d), axis=0), f"SELECT i0, i1, round(CAST(CAST(sum(v::DOUBLE) OVER (PARTITION BY i1 ORDER BY i0 ROWS UNBOUNDED PRECEDING) AS FLOAT) AS DOUBLE), 3) AS v FROM {_E}", 3)
+_frame("fn_cumprod_whole", lambda s, d: np.cumprod(_factors(s, d)), f"SELECT i0, round(product(v) OVER (ORDER BY i0 ROWS UNBOUNDED PRECEDING), 6) AS v FROM {_FACTORS}", 6)
+_frame("to_array_whole", lambda s, d: ArrayFrame.of_numpy(s, np.asarray(sizes(s, d), dtype="int64")), f"SELECT i0, v::BIGINT AS v FROM {_PS}")
+_frame("reshape_whole", lambda s, d: (lambda a: a.reshape(a.shape[0] * 4, 4, 4))(matrix(s, d)), f"SELECT i0 * 4 + i1 // 16 AS i0, i1 // 4 % 4 AS i1, i1 % 4 AS i2, v FROM {_E}")

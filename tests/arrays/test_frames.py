@@ -187,3 +187,14 @@ def test_types_survive(spark, name):
     for key in ((), (slice(None, None, 2), [2, 0]), (3, 1)):
         got = f[key].to_numpy()
         assert got.dtype == x.dtype and (got == x[key]).all()
+
+
+def test_cumprod_stays_on_the_cluster(spark, monkeypatch):
+    from gridloom.functions import numpy_api
+
+    monkeypatch.setattr(numpy_api, "BLOCK", 7)
+    a = np.random.default_rng(3).uniform(-1.2, 1.2, (40, 3))
+    for axis in (0, 1, None):
+        got = np.cumprod(ArrayFrame.of_numpy(spark, a), axis=axis)
+        assert isinstance(got, ArrayFrame)
+        np.testing.assert_allclose(got.to_numpy(), np.cumprod(a, axis=axis), rtol=1e-12)
