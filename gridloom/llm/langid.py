@@ -5,7 +5,8 @@ labelled text. A document is parsed greedily: each phrase is the longest string
 that occurs in the sample, found by walking the automaton until it has no
 transition. The automata are laid out as one table in which a failing step
 counts a phrase and restarts at the root, so a step is one lookup, taken for all
-windows of a chunk of texts and all languages side by side.
+windows of a chunk of texts and all languages side by side. The table has columns
+for the most frequent letters; transitions by all others are found in sorted keys.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from .text import chunks
 SAMPLE = 48
 #: Symbols learned from each language, and from all languages together.
 SYMBOLS, ALL_SYMBOLS = 40_000, 200_000
-#: Letters that get a number of their own, the most frequent of the samples; the rest match nothing.
+#: Letters with a column in the table, the most frequent of the samples; every other letter of a sample has its transitions in sorted keys.
 LETTERS = 94
 #: Texts are parsed in windows of so many symbols, where a phrase ends at the latest.
 WINDOW = 2048
@@ -99,20 +100,28 @@ class Parser:
         self.langs = sorted(self.samples)
         learned = [np.array(self.samples[x], np.int64) for x in self.langs]
         codes, counts = np.unique(np.concatenate([np.zeros(0, np.int64), *learned]), return_counts=True)
-        own = codes[codes > 0][np.argsort(-counts[codes > 0], kind="stable")][:LETTERS]
-        self._symbol = np.full(0x110000, 1, np.uint8)  # 1: a letter that no sample has
+        order = codes[codes > 0][np.argsort(-counts[codes > 0], kind="stable")]
+        self.width = width = min(len(order), LETTERS) + 2
+        self._symbol = np.full(0x110000, 1, np.int32)  # 1: a letter that no sample has
         self._symbol[0] = 0
-        self._symbol[own] = np.arange(2, len(own) + 2)
-        self.width = width = len(own) + 2
-        tables, self.roots, base = [], [], 0
-        for text in learned:
+        self._symbol[order] = np.arange(2, len(order) + 2)
+        self.rare = rare = len(order) + 2 - width  # letters without a column
+        tables, self.roots, base, keys, targets = [], [], 0, [], []
+        self._first = np.full((len(learned), rare), -1, np.int32)  # where the roots' transitions by letters without a column go
+        for k, text in enumerate(learned):
             step = suffix_automaton(self._symbol[text].tolist())
             alone = len(step)  # the state after a letter that the sample lacks, which is a phrase of its own
             table = np.full((len(step) + 1, width), -1, np.int64)
             for s, to in enumerate(step):
                 for c, t in to.items():
-                    table[s, c] = t
-            table[:, 1] = -1
+                    if c < width:
+                        table[s, c] = t
+                    else:
+                        keys.append((s + base) * rare + c - width)
+                        targets.append((t + base) * width)
+            for c, t in step[0].items():
+                if c >= width:
+                    self._first[k, c - width] = (t + base) * width
             restart = np.where(table[0] < 0, alone, table[0])
             failed = table < 0
             table = np.where(failed, restart[None, :], table)
@@ -120,11 +129,23 @@ class Parser:
             self.roots.append(base * width)
             base += len(table)
         self._table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
+        order = np.argsort(np.array(keys, np.int64))
+        self._keys, self._targets = np.array(keys, np.int64)[order], np.array(targets, np.int32)[order]
+
+    def _rarely(self, state: np.ndarray, letter: np.ndarray, to: np.ndarray) -> np.ndarray:
+        """``to`` (a restart as if no sample had the letter) with the transitions by letters without a column."""
+        key = state.astype(np.int64) // self.width * self.rare + letter
+        at = np.minimum(np.searchsorted(self._keys, key), len(self._keys) - 1)
+        first = self._first[:, letter]
+        to = np.where(first < 0, to, first << 1 | 1)
+        return np.where(self._keys[at] == key, self._targets[at] << 1, to)
 
     def phrases(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Phrases of each text by language, and whether it has letters."""
         symbols, at, lettered = normalised(data, offsets)
-        symbols = self._symbol[symbols].astype(np.int32)
+        symbols = self._symbol[symbols]
+        rare = symbols >= self.width
+        columns = np.where(rare, 1, symbols) if (some := bool(rare.any())) else symbols
         size = np.diff(at)
         windows = -(-size // WINDOW)
         doc = np.repeat(np.arange(len(size)), windows)
@@ -137,8 +158,10 @@ class Parser:
         state = np.repeat(np.array(self.roots, np.int32)[:, None], n, axis=1)
         active = np.searchsorted(-length, -np.arange(1, length[0] + 1), side="right") if n else []
         for t, m in enumerate(active):
-            c = symbols[start[:m] + t]
-            to = self._table[state[:, :m] + c]
+            place = start[:m] + t
+            to = self._table[state[:, :m] + columns[place]]
+            if some and len(at_rare := np.flatnonzero(rare[place])):
+                to[:, at_rare] = self._rarely(state[:, at_rare], symbols[place[at_rare]] - self.width, to[:, at_rare])
             count[:, :m] += to & 1
             state[:, :m] = to >> 1
         return np.stack([np.bincount(doc, row, len(size)) for row in count]) if k else np.zeros((0, len(size))), lettered

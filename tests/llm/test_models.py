@@ -175,3 +175,21 @@ def test_no_training_rows(spark):
     got = {r.doc_id: (r.n_tokens, r.n_known, r.train_tokens, r.base_score) for r in pitman_yor.score_texts(df, Store(spark)).collect()}
     assert got == {1: (3, 0, 0, 0.0), 2: (1, 0, 0, 0.0)}
     assert pitman_yor.score_texts(df.limit(0), Store(spark)).count() == 0
+
+
+def test_every_letter_of_a_sample_counts():
+    rng = np.random.default_rng(11)
+    wide = [chr(c) for c in range(0x4E00, 0x4E00 + 900)]
+    texts = {name: "".join(rng.choice(own, 3000)) for name, own in (("a", list("abcdefg ") + wide[:10]), ("b", wide[:500]), ("c", wide[400:]))}
+    symbols = lambda t: langid.normalised(raw := np.frombuffer(t.encode(), np.uint8), np.array([0, len(raw)]))[0]
+    parser = langid.Parser({lang: [0, *symbols(t).tolist()] for lang, t in texts.items()})
+    assert parser.rare > 700
+
+    tests = [texts["b"][700:760], texts["c"][50:90] + "abc" + texts["b"][:30], wide[899], "dcba" + wide[450] + chr(0x9000) + texts["c"][9:20]]
+    raw = [t.encode() for t in tests]
+    counts, _ = parser.phrases(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    plain = {lang: "".join(chr(c) if c else " " for c in symbols(t)) for lang, t in texts.items()}
+    want = np.array([[brute_phrases(plain[lang], t) for t in tests] for lang in parser.langs])
+    assert (abs(counts - want) <= 1).all() and counts[2, 0] > 40 and counts[1, 0] == 1
+    rarest = max(set(texts["c"]) - set(texts["b"]), key=lambda x: parser._symbol[ord(x)]).encode()
+    assert parser.predict(np.frombuffer(rarest, np.uint8), np.array([0, len(rarest)]))[0] == ["c"]
