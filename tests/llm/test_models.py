@@ -193,3 +193,14 @@ def test_every_letter_of_a_sample_counts():
     assert (abs(counts - want) <= 1).all() and counts[2, 0] > 40 and counts[1, 0] == 1
     rarest = max(set(texts["c"]) - set(texts["b"]), key=lambda x: parser._symbol[ord(x)]).encode()
     assert parser.predict(np.frombuffer(rarest, np.uint8), np.array([0, len(rarest)]))[0] == ["c"]
+
+
+def test_sweeps_see_the_tables_before(spark, monkeypatch):
+    df = spark.createDataFrame([(k, False, " ".join(f"w{k * j % 41}" for j in range(60))) for k in range(50)], "doc_id long, held_out boolean, text string")
+    given, fitted = [], []
+    sweep, fit = pitman_yor._sweep, pitman_yor._fit_spelling
+    monkeypatch.setattr(pitman_yor, "_sweep", lambda held, lexicon, k, total: given.append((k, total)) or sweep(held, lexicon, k, total))
+    monkeypatch.setattr(pitman_yor, "_fit_spelling", lambda now: fitted.append(fit(now)) or fitted[-1])
+    assert pitman_yor.score_texts(df, Store(spark)).count() == 50
+    assert [k for k, _ in given] == list(range(pitman_yor.SWEEPS + 1)) and len({t for _, t in given[1:]}) > 1 and given[1][1] > given[0][1]
+    assert len(fitted) == pitman_yor.SWEEPS + 1 and not np.array_equal(fitted[-1], fitted[1])
