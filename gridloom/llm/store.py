@@ -3,19 +3,22 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; only where it is unset, as in tests, a folder of this machine."""
+    """The folder that all executors share: ``spark.checkpoint.dir``; where it is unset, a folder of this machine if that is the whole cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="gridloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -88,15 +91,37 @@ def grouped(df: DataFrame, keys: list[str], then: Callable, schema: str, parts:
     return df.repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(then, schema)
 
 
+def join_by_size(rows: DataFrame, table: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
+    """``rows`` with what ``table`` knows of their ``keys``: one row for each key, with the number of its rows in ``size``.
+
+    A key that holds more than a thousandth of the ``total`` rows is sent to all
+    tasks, and its rows stay where they are; there are at most a thousand such
+    keys. The other rows are shuffled, of which no key has many.
+    """
+    hot = F.broadcast(table.where(F.col(size) > max(1, total // 1000)))
+    rest = rows.join(F.broadcast(hot.select(keys)), keys, "left_anti").join(table.where(F.col(size) <= max(1, total // 1000)), keys)
+    return rows.join(hot, keys).unionByName(rest)
+
+
 def keep_rows(df: DataFrame, make: Callable[[], Callable]) -> DataFrame:
-    """The rows of ``df`` that the function which ``make`` gives in each task wants kept, from their text column; no column changes."""
+    """The rows of ``df`` that the function which ``make`` gives in each task wants kept, from their text column.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Only the texts go to Python and only a mark comes back; the other columns stay where they are.
+    """
+
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         wanted = make()
-        for batch in batches:
-            yield batch.filter(pa.array(np.asarray(wanted(batch.column(batch.schema.get_field_index("text"))), bool)))
+        for column in columns:
+            yield pa.array(np.asarray(wanted(column), bool))
+
+    return df.where(F.arrow_udf(run, "boolean")(df["text"]))
+
 
-    return df.mapInArrow(run, df.schema)
+def release() -> None:
+    """Hands memory that the allocators hold back to the machine, after a task that took much."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -62,7 +62,7 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
         with np.errstate(over="ignore"):
             _powers = tuple(np.cumprod(np.r_[np.uint64(1), np.full(n - 1, p, np.uint64)]) for p in (_P, _P_INVERSE))
     up, down = _powers
-    if len(up) > 8 * CHUNK:  # tables for one very long text are not kept
+    if len(up) > 2 * CHUNK:  # tables for one very long text are not kept
         _powers = (up[:CHUNK].copy(), down[:CHUNK].copy())
     return up, down
 

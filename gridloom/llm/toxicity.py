@@ -1,9 +1,10 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-The model is fitted in one task on a bounded sample (``SAMPLE`` labelled rows of
-each class at most, of texts up to ``SAMPLE_BYTES``), and its intercept is moved
-to the class balance of all labelled rows. L1 leaves few weights, which are sent
-to all workers; every whole text is then scored in one narrow pass.
+The model is fitted in one task on a bounded sample of whole labelled texts (of
+each class ``SAMPLE`` rows at most, and no further row once these hold
+``SAMPLE_BYTES``), and its intercept is moved to the class balance of all
+labelled rows. L1 leaves few weights, which are sent to all workers; every whole
+text is then scored in one narrow pass.
 """
 
 from __future__ import annotations
@@ -16,15 +17,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .store import documents, keep_rows
+from .store import documents, keep_rows, release
 from .text import chunks, words
 
 #: Labelled rows of each class that the model is fitted on, those with the least hash of doc_id.
 SAMPLE = 4_000
-#: Longer texts are not fitted on; they are scored whole like all others.
-SAMPLE_BYTES = 1 << 16
-#: Weights of the largest size that are kept and broadcast (12 bytes each).
-WEIGHTS = 200_000
+#: Bytes of text of each class after which no further row is taken; the order has nothing to do with length, so long texts are learned from like short ones.
+SAMPLE_BYTES = 32 << 20
 ALPHA, BETA, L2, EPOCHS = 2.0, 1.0, 0.01, 8
 #: L1 is the least value and this share of the positive examples, which must ask for a weight.
 L1_SHARE, L1_LEAST = 0.01, 2.5
@@ -68,53 +67,62 @@ class Model:
 
 def ftrl(examples: list[np.ndarray], labels: np.ndarray, size: int, epochs: int = EPOCHS, alpha: float = ALPHA, beta: float = BETA, l1: float | None = None, l2: float = L2) -> tuple[float, np.ndarray]:
     """Bias and weights after passes over examples of distinct feature numbers, each with value 1."""
-    z, n = np.zeros(size), np.zeros(size)
+    z, root = np.zeros(size), np.zeros(size)  # root: of the coordinate's sum of squared gradients
     l1 = L1_LEAST + L1_SHARE * float(labels.sum()) if l1 is None else l1
     bias, grown = 0.0, 0.0
 
-    def weight(z, n):
-        return np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((beta + np.sqrt(n)) / alpha + l2))
+    def weight(z, root):
+        return -(z - np.sign(z) * l1) / ((beta + root) / alpha + l2)
 
     for _ in range(epochs):
         for x, y in zip(examples, labels):
-            zx, nx = z[x], n[x]
-            w = weight(zx, nx)
+            zx, rx = z[x], root[x]
+            some = np.flatnonzero(np.abs(zx) > l1)  # the others' weights are 0
+            w = weight(zx[some], rx[some])
             p = 1 / (1 + math.exp(-max(-30.0, min(30.0, bias + w.sum()))))
             g = p - y
-            after = nx + g * g
-            z[x] = zx + g - (np.sqrt(after) - np.sqrt(nx)) / alpha * w
-            n[x] = after
+            after = np.sqrt(rx * rx + g * g)
+            zx += g
+            zx[some] -= (after[some] - rx[some]) / alpha * w
+            z[x], root[x] = zx, after
             grown += g * g
             bias -= alpha / (beta + math.sqrt(grown)) * g
-    return bias, weight(z, n)
+    return bias, np.where(np.abs(z) <= l1, 0.0, weight(z, root))
 
 
 def _fit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One task: rows (doc_id, toxic, features) to rows (key, weight); key null is the bias."""
-    rows = sorted(((i, y, np.array(x, np.uint32)) for b in batches for i, y, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), (np.frombuffer(v.as_buffer(), np.uint32) for v in b.column(2)))), key=lambda r: (hash_order(r[0]), r[1], len(r[2])))
+    """One task: ordered rows (doc_id, toxic, size, features) to rows (key, weight); key null is the bias, -1 and -2 are the rows of class 0 and 1 learned from."""
+    rows, labels, held = [], [], [0, 0]
+    for batch in batches:
+        for y, n, x in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
+            if held[y] < SAMPLE_BYTES:
+                held[y] += n
+                labels.append(y)
+                rows.append(np.frombuffer(x.as_buffer().to_pybytes(), np.uint32))
     if rows:
-        keys, seen = np.unique(np.concatenate([x for _, _, x in rows]), return_counts=True)
-        keys = keys[seen > 1]  # a feature of one example can't tell about others
-        local = [np.searchsorted(keys, x)[np.isin(x, keys, assume_unique=True)] for _, _, x in rows]
-        bias, weights = ftrl(local, np.array([y for _, y, _ in rows], float), len(keys))
-        best = np.sort(np.argsort(-np.abs(weights), kind="stable")[:WEIGHTS])
-        best = best[weights[best] != 0]
-        yield pa.RecordBatch.from_arrays([pa.array([None, *keys[best].tolist()], pa.int64()), pa.array([bias, *weights[best].tolist()], pa.float64())], ["key", "weight"])
-
-
-def hash_order(i: int) -> int:
-    """A fixed order that has nothing to do with the ids' own."""
-    return (i * 0x9E3779B97F4A7C15 + 0x7F4A7C15) % (1 << 64) * 0xBF58476D1CE4E5B9 % (1 << 64)
+        every = np.concatenate(rows)
+        every.sort()
+        again = every[1:][every[1:] == every[:-1]]  # a feature of one example can't tell about others
+        keys = again[np.r_[True, again[1:] != again[:-1]]] if len(again) else again
+        del every, again
+        for k, x in enumerate(rows):
+            at = np.minimum(np.searchsorted(keys, x), max(0, len(keys) - 1)).astype(np.int32)
+            rows[k] = at[keys[at] == x] if len(keys) else at[:0]
+        bias, weights = ftrl(rows, np.array(labels, float), len(keys))
+        some = np.flatnonzero(weights)
+        yield pa.RecordBatch.from_arrays([pa.array([None, -1, -2, *keys[some].tolist()], pa.int64()), pa.array([bias, labels.count(0), labels.count(1), *weights[some].tolist()], pa.float64())], ["key", "weight"])
+        del rows
+        release()
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for a, b, data, offsets in chunks(batch.column(2)):
+        for a, b, data, offsets in chunks(batch.column(3)):
             h, doc = features(data, offsets)
             own = np.unique(doc.astype(np.uint64) << np.uint64(32) | h)
             at = np.searchsorted(own, np.arange(b - a + 1).astype(np.uint64) << np.uint64(32))
             lists = [own[i:j].astype(np.uint32).tobytes() for i, j in zip(at[:-1], at[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], pa.array(lists, pa.binary())], ["doc_id", "toxic", "features"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k)[a:b] for k in range(3)), pa.array(lists, pa.binary())], ["doc_id", "toxic", "size", "features"])
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
@@ -130,13 +138,20 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         return Model(50.0 if 1 in n else -50.0, np.zeros(0, np.uint32), np.zeros(0))
     pick = lambda y: marks.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
     chosen = pick(0).unionByName(pick(1))
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where(F.octet_length("text") <= SAMPLE_BYTES)  # at most 2 * SAMPLE rows are sent
-    found = texts.select("doc_id", "toxic", "text").mapInArrow(_extract, "doc_id long, toxic int, features binary").coalesce(1).repartition(1).mapInArrow(_fit_rows, "key long, weight double").collect()
-    found.sort(key=lambda r: -1 if r.key is None else r.key)
-    if not found:
+    texts = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")  # at most 2 * SAMPLE rows are sent
+    sized = texts.select("doc_id", "toxic", F.octet_length("text").cast("long").alias("size"), "text")
+    found = (
+        sized.mapInArrow(_extract, "doc_id long, toxic int, size long, features binary")
+        .repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "features")
+        .mapInArrow(_fit_rows, "key long, weight double").collect()
+    )
+    of = {r.key: r.weight for r in found}
+    used = [of.get(-1, 0), of.get(-2, 0)]
+    if not all(used):
         return Model(math.log(n[1] / n[0]), np.zeros(0, np.uint32), np.zeros(0))
-    shift = math.log(n[1] / n[0]) - math.log(min(n[1], SAMPLE) / min(n[0], SAMPLE))
-    return Model(found[0].weight + shift, np.array([r.key for r in found[1:]], np.uint32), np.array([r.weight for r in found[1:]]))
+    keys = sorted(k for k in of if k is not None and k >= 0)
+    shift = math.log(n[1] / n[0]) - math.log(used[1] / used[0])
+    return Model(of[None] + shift, np.array(keys, np.uint32), np.array([of[k] for k in keys], float))
 
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
