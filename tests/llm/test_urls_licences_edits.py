@@ -1,5 +1,6 @@
 import os
 import random
+import textwrap
 
 import duckdb
 import numpy as np
@@ -46,24 +47,113 @@ def test_urls(spark):
     assert urls.judge(pages.limit(0), urls.page_edges(pages.limit(0)), Store(spark)).count() == 0
 
 
+def of(*numbers):
+    return [licences.SENTENCES[i - 1] for i in numbers]
+
+
+MIT = """MIT License
+
+Copyright (c) 2021 A. Person and others
+
+{}:
+
+{}.
+
+{}. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM,
+DAMAGES OR OTHER LIABILITY.
+""".format(*of(5, 6), of(7)[0].upper().replace("AS IS", '"AS IS"'))
+BSD_2 = """Copyright 1999-2010, The Regents. All rights reserved.
+{}:
+
+1. {}.
+2. {}.
+
+{}. IN NO EVENT SHALL (INCLUDING, BUT NOT LIMITED TO, SUBSTITUTE GOODS; LOSS OF USE) WE BE LIABLE.
+""".format(*of(8, 9, 10), of(31)[0].upper())
+BSD_3 = BSD_2.replace("\n\nTHIS SOFTWARE", "\n3. " + of(11)[0] + ".\n\nTHIS SOFTWARE")
+ISC = "Copyright (c) 2004 by Somebody\n\n{}.\n\n{}.\n".format(of(27)[0], of(30)[0].upper())
+APACHE = """Copyright 2019 The Authors
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions.
+"""
+GPL_3 = "{}.\n\n{}.  See the\nGNU General Public License for more details.\n".format(*of(14, 15))
+GPL_2 = "{}.\n\n{}.\n".format(*of(32, 15))
+LGPL = "{}.\n\n{}.\n".format(*of(34, 38))
+MPL = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this file,\nYou can obtain one at http://mozilla.org/MPL/2.0/."
+WHOLE = {"MIT": MIT, "BSD-2-Clause": BSD_2, "BSD-3-Clause": BSD_3, "ISC": ISC, "Apache-2.0": APACHE, "GPL-3.0-or-later": GPL_3, "GPL-2.0-or-later": GPL_2, "LGPL-2.1-or-later": LGPL, "MPL-2.0": MPL}
 LICENCE_TEXTS = [
     (1, "Released under the MIT License.\nWords. Licensed under CC BY-NC 4.0."), (2, None), (3, ""), (4, "software"),
-    (5, ". ".join(licences.SENTENCES[i - 1].capitalize() for i in (8, 9, 10, 11)) + "."), (6, ".\n".join(licences.SENTENCES[i - 1] for i in (8, 9, 10))),
-    (7, "THE MIT LICENSE\n\n" + ".  ".join(licences.SENTENCES[i - 1] for i in (5, 6, 7)) + " !"), (8, ". ".join(licences.SENTENCES[i - 1] for i in (6, 5))),
+    (5, ". ".join(s.capitalize() for s in of(8, 9, 10, 11)) + "."), (6, ".\n".join(of(8, 9, 10))),
+    (7, "THE MIT LICENSE\n\n" + ".  ".join(of(5, 6, 7)) + " !"), (8, ". ".join(of(6, 5))),
     (9, "Licensed under the Apache License, Version 2.0. You may not use this file except in compliance with the License."), (9, "Released under the MIT License.\n" * 3), (None, "Released under the mit licence"),
     (10, "x. " * 3000 + "This work is licensed under the GNU General Public License, version 3."),
+    (11, "some words without an end\nReleased under the MIT License\nmore words\r\nLicensed under CC BY 4.0"), (12, "# SPDX-License-Identifier: GPL-2.0-only\n/* SPDX-License-Identifier:  MIT */"),
+    (13, "Mozilla Public License Version 2.0\n==================================\n\n1. Definitions"), (14, "  Apache License\n     Version 2.0, January 2004\n  http://www.apache.org/licenses/\n\n TERMS"),
+    (15, "MIT License\n" + of(5)[0] + ": " + of(6)[0] + ". " + of(7)[0]), (16, "\n\n \n#\n licence"), (17, "The software" + MIT[40:900]),
 ]
 
 
+def wrapped(text, width, sign, newline="\n"):
+    """Paragraph by paragraph to lines of so many characters behind a comment sign."""
+    out = []
+    for part in text.split("\n\n"):
+        if part.startswith(("1. ", "Copyright")):  # lists and lines about whose it is keep their lines
+            out += [line for piece in part.split("\n") for line in textwrap.wrap(piece, width, break_long_words=False, break_on_hyphens=False)]
+        else:
+            out += textwrap.wrap(part, width, break_long_words=False, break_on_hyphens=False)
+        out.append("")
+    return newline.join((sign + line).rstrip(" ") for line in out)
+
+
 def test_licences(spark):
     import re
 
-    assert all(re.search(licences.HINT, s) for s in licences.SENTENCES)
+    assert all(re.search(licences.HINT, s) for s in licences.KNOWN) and len(licences.KNOWN) == len(licences.SENTENCES) + len(licences.TAGS)
+    assert len({ids for _, ids in licences.RULES}) == len(licences.RULES)
     docs = spark.createDataFrame(LICENCE_TEXTS, "doc_id long, text string")
     got = licences.scan(docs)
     same(got, by_duckdb(licences.ORACLE, documents=docs))
-    found = {r.doc_id: r.licences for r in got.where("doc_id < 9 or doc_id = 10").collect()}
-    assert found == {1: "MIT,CC-BY-NC-4.0", 2: "", 3: "", 4: "", 5: "BSD-3-Clause", 6: "BSD-2-Clause", 7: "MIT", 8: "", 10: "GPL-3.0"}
+    found = {r.doc_id: r.licences for r in got.where("doc_id < 9 or doc_id >= 10").collect()}
+    assert found == {
+        1: "MIT,CC-BY-NC-4.0", 2: "", 3: "", 4: "", 5: "BSD-3-Clause", 6: "BSD-2-Clause", 7: "MIT", 8: "", 10: "GPL-3.0", 11: "MIT,CC-BY-4.0",
+        12: "GPL-2.0-only,MIT", 13: "MPL-2.0", 14: "Apache-2.0", 15: "MIT", 16: "", 17: found[17],
+    }
+
+
+def test_every_sentence_is_found_alone(spark):
+    docs = spark.createDataFrame([(i, f"Before this. {s}.\n\nBehind it") for i, s in enumerate(licences.SENTENCES, 1)], "doc_id long, text string")
+    assert {r.doc_id: r.sentences for r in licences.scan(docs).collect() if r.doc_id != 20} == {i: f"|{i}|" for i in range(1, len(licences.SENTENCES) + 1) if i != 20}
+    assert licences.scan(docs.where("doc_id = 20")).first().licences == "Apache-2.0"
+
+
+def test_wrapped_and_repeated_licences(spark):
+    """Whole texts at several widths behind comment signs, alone, several times and one behind the other."""
+    rows, want = [], {}
+    for name, text in WHOLE.items():
+        for width, sign, newline in ((10_000, "", "\n"), (72, "", "\n"), (50, " * ", "\n"), (64, "// ", "\r\n"), (40, "# ", "\n")):
+            one = wrapped(text, width, sign, newline)
+            for times in (1, 2, 3):
+                want[len(rows)] = (name, times)
+                rows.append((len(rows), newline.join([one] * times)))
+    pairs = [(a, b) for a in WHOLE for b in WHOLE if a != b]
+    for a, b in pairs:
+        want[len(rows)] = (f"{a},{b}", 1)
+        rows.append((len(rows), wrapped(WHOLE[a], 70, "# ") + "\n" + wrapped(WHOLE[b], 60, "")))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in licences.scan(docs).collect()}
+    assert {i: r.licences for i, r in got.items()} == {i: name for i, (name, _) in want.items()}
+    single = {name: got[i].sentences for i, (name, times) in want.items() if times == 1}
+    assert all(got[i].sentences == "|" + single[name][1:] * times for i, (name, times) in want.items())
+    same(licences.scan(docs), by_duckdb(licences.ORACLE, documents=docs))
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no tables")
