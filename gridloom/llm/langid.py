@@ -3,10 +3,16 @@
 For each language a suffix automaton is built over a bounded sample of its
 labelled text. A document is parsed greedily: each phrase is the longest string
 that occurs in the sample, found by walking the automaton until it has no
-transition. The automata are laid out as one table in which a failing step
-counts a phrase and restarts at the root, so a step is one lookup, taken for all
-windows of a chunk of texts and all languages side by side. The table has columns
-for the most frequent letters; transitions by all others are found in sorted keys.
+transition. The number of phrases, times the logarithm of the sample's length and
+divided by the text's, is the entropy of the text by the language (Ziv and Merhav),
+so that a language is not put back for a smaller sample.
+
+The automata are laid out as one table in which a failing step counts a phrase and
+restarts at the root, so a step is one lookup, taken for all windows of a chunk of
+texts and all languages side by side. A window is then parsed once more from the
+state that the window before it ended in, until a phrase ends where one ended the
+first time: the parse is that of the whole text. The table has columns for the most
+frequent letters; transitions by all others are found in sorted keys.
 """
 
 from __future__ import annotations
@@ -22,15 +28,15 @@ from .bpe import _LETTER, _classes
 from .store import documents, keep_rows
 from .text import chunks
 
-#: Labelled documents of a language that are learned from, those with the least hash of doc_id.
+#: Labelled documents of a language that are learned from, those with the least hash.
 SAMPLE = 48
-#: Symbols learned from each language, and from all languages together.
+#: Bytes of whole texts learned from each language, and from all languages together.
 SYMBOLS, ALL_SYMBOLS = 40_000, 200_000
 #: Letters with a column in the table, the most frequent of the samples; every other letter of a sample has its transitions in sorted keys.
 LETTERS = 94
-#: Texts are parsed in windows of so many symbols, where a phrase ends at the latest.
-WINDOW = 2048
-CHUNK = 3 << 20
+#: Symbols of a window, and of these how many remember where phrases ended; both change no result.
+WINDOW, SEEN = 2048, 256
+CHUNK = 2 << 20
 _lower: list[np.ndarray] = []
 
 
@@ -132,84 +138,134 @@ class Parser:
         order = np.argsort(np.array(keys, np.int64))
         self._keys, self._targets = np.array(keys, np.int64)[order], np.array(targets, np.int32)[order]
 
-    def _rarely(self, state: np.ndarray, letter: np.ndarray, to: np.ndarray) -> np.ndarray:
-        """``to`` (a restart as if no sample had the letter) with the transitions by letters without a column."""
-        key = state.astype(np.int64) // self.width * self.rare + letter
-        at = np.minimum(np.searchsorted(self._keys, key), len(self._keys) - 1)
-        first = self._first[:, letter]
-        to = np.where(first < 0, to, first << 1 | 1)
-        return np.where(self._keys[at] == key, self._targets[at] << 1, to)
-
-    def phrases(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Phrases of each text by language, and whether it has letters."""
+    def _step(self, state: np.ndarray, lang: np.ndarray, symbol: np.ndarray, rare: bool) -> np.ndarray:
+        """Twice the next state, plus one where a phrase ended before the symbol; a row for each language or a value for each."""
+        if not rare:
+            return self._table[state + symbol]
+        letter = symbol - self.width
+        to = self._table[state + np.where(letter >= 0, 1, symbol)]  # a restart as if no sample had the letter
+        at = np.flatnonzero(np.broadcast_to(letter >= 0, to.shape).ravel())
+        if len(at):
+            state, lang, letter = (np.broadcast_to(x, to.shape).ravel()[at] for x in (state, lang, letter))
+            key = state.astype(np.int64) // self.width * self.rare + letter
+            place = np.minimum(np.searchsorted(self._keys, key), len(self._keys) - 1)
+            first = self._first[lang, letter]
+            to = to.copy()
+            alone = to.ravel()[at]
+            to.ravel()[at] = np.where(self._keys[place] == key, self._targets[place] << 1, np.where(first < 0, alone, first << 1 | 1))
+        return to
+
+    def phrases(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Phrases of each text by language, its symbols, and whether it has letters."""
         symbols, at, lettered = normalised(data, offsets)
         symbols = self._symbol[symbols]
-        rare = symbols >= self.width
-        columns = np.where(rare, 1, symbols) if (some := bool(rare.any())) else symbols
+        rare = bool((symbols >= self.width).any())
         size = np.diff(at)
         windows = -(-size // WINDOW)
         doc = np.repeat(np.arange(len(size)), windows)
-        start = np.repeat(at[:-1], windows) + WINDOW * (np.arange(len(doc)) - np.repeat(np.cumsum(windows) - windows, windows))
+        first = np.repeat(at[:-1], windows)
+        start = first + WINDOW * (np.arange(len(doc)) - np.repeat(np.cumsum(windows) - windows, windows))
         length = np.minimum(WINDOW, at[1:][doc] - start)
-        order = np.argsort(-length, kind="stable")
-        start, doc, length = start[order], doc[order], length[order]
         k, n = len(self.langs), len(start)
-        count = np.ones((k, n), np.int32)  # the phrase that the window's end closes
+        if not k:
+            return np.zeros((0, len(size)), np.int64), size, lettered
+        order = np.argsort(-length, kind="stable")  # so that the windows which go on are the first ones
+        langs, places, later = np.arange(k)[:, None], start[order], (start > first)[order]
+        closed = np.zeros((k, n, SEEN), bool)
+        ends = np.zeros((k, n), np.int64)
         state = np.repeat(np.array(self.roots, np.int32)[:, None], n, axis=1)
-        active = np.searchsorted(-length, -np.arange(1, length[0] + 1), side="right") if n else []
+        active = np.searchsorted(-length[order], -np.arange(1, length.max() + 1), side="right") if n else []
         for t, m in enumerate(active):
-            place = start[:m] + t
-            to = self._table[state[:, :m] + columns[place]]
-            if some and len(at_rare := np.flatnonzero(rare[place])):
-                to[:, at_rare] = self._rarely(state[:, at_rare], symbols[place[at_rare]] - self.width, to[:, at_rare])
-            count[:, :m] += to & 1
+            to = self._step(state[:, :m], langs, symbols[places[:m] + t], rare)
+            over = to & 1
+            ends[:, :m] += over if t else over * later[:m]  # no phrase ends before a text's first symbol
+            if t < SEEN:
+                closed[:, :m, t] = over
             state[:, :m] = to >> 1
-        return np.stack([np.bincount(doc, row, len(size)) for row in count]) if k else np.zeros((0, len(size))), lettered
+        back = np.argsort(order)
+        ends, closed, state = ends[:, back], closed[:, back], state[:, back]
+        self._join(symbols, rare, start, length, start > first, closed, ends, state)
+        count = (size > 0) + np.stack([np.bincount(doc, row, len(size)) for row in ends])  # the last phrase ends with the text
+        return count.astype(np.int64), size, lettered
+
+    def _join(self, symbols, rare, start, length, goes_on, closed, ends, state) -> None:
+        """Ends and last states of windows parsed alone become those of the whole text's parse."""
+        alone, last = ends.copy(), state.copy()
+        lang, window = (x.ravel() for x in np.meshgrid(np.arange(len(ends)), np.flatnonzero(goes_on), indexing="ij"))
+        while len(lang):
+            now = state[lang, window - 1]
+            own, theirs, met = np.zeros(len(lang), np.int64), np.zeros(len(lang), np.int64), np.zeros(len(lang), bool)
+            alive, t = np.arange(len(lang)), 0
+            while len(alive):
+                to = self._step(now[alive], lang[alive], symbols[start[window[alive]] + t], rare)
+                now[alive] = to >> 1
+                own[alive] += to & 1
+                if t < SEEN:
+                    there = closed[lang[alive], window[alive], t]
+                    theirs[alive] += there
+                    met[alive] = ((to & 1) == 1) & there
+                t += 1
+                alive = alive[~met[alive] & (length[window[alive]] > t)]
+            ends[lang, window] = np.where(met, alone[lang, window] - theirs + own, own)
+            now = np.where(met, last[lang, window], now)
+            changed = (state[lang, window] != now) & np.r_[goes_on, False][window + 1]  # the next window was joined to another state
+            state[lang, window] = now
+            lang, window = lang[changed], window[changed] + 1
 
     def predict(self, data: np.ndarray, offsets: np.ndarray) -> tuple[list[str], np.ndarray]:
-        phrases, lettered = self.phrases(data, offsets)
+        phrases, _, lettered = self.phrases(data, offsets)
         if not self.langs:
             return ["und"] * len(lettered), np.zeros(len(lettered))
-        best = phrases.argmin(axis=0)
-        least = phrases.min(axis=0)
-        share = 1 / ((least / np.maximum(phrases, 1)) ** 8).sum(axis=0).clip(1)
+        entropy = phrases * np.log2([max(2, len(self.samples[x])) for x in self.langs])[:, None]
+        best, least = entropy.argmin(axis=0), entropy.min(axis=0)
+        share = 1 / ((least / np.maximum(entropy, 1)) ** 8).sum(axis=0).clip(1)
         return [self.langs[b] if ok else "und" for b, ok in zip(best.tolist(), lettered.tolist())], np.where(lettered, share, 0.0)
 
 
 def sample(docs: DataFrame) -> dict[str, list[int]]:
-    """Learned text of each language of ``docs`` (doc_id, text, lang): ``SAMPLE`` documents and ``SYMBOLS`` symbols at most."""
-    ranked = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = (
-        docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.octet_length("text") > 0))
-        .select("doc_id", "lang")
-        .withColumn("rank", F.row_number().over(ranked))
-        .where(F.col("rank") <= SAMPLE)
-    )
-    ids = picked.select("doc_id", "rank", "lang").collect()
-    langs = sorted({r.lang for r in ids})
+    """Learned text of each language of ``docs`` (doc_id, text, lang).
+
+    Taken are whole texts of ``SAMPLE`` rows at most, in the order of their hashes,
+    that fit into what is left of the language's bytes; of a language whose every
+    row is longer than that, the shortest text as far as it goes. Repeated rows
+    count once; each row has its own label, whatever others its id has.
+    """
+    marked = docs.where(F.col("lang").isNotNull() & (F.octet_length("text") > 0)).select("lang", F.octet_length("text").cast("long").alias("size"), F.xxhash64("doc_id", "text").alias("h"), F.xxhash64(F.lit(1), "doc_id", "text").alias("g"))
+    ranked = marked.withColumn("rank", F.dense_rank().over(Window.partitionBy("lang").orderBy("h", "g"))).where(F.col("rank") <= SAMPLE)
+    rows = sorted(ranked.distinct().collect(), key=lambda r: (r.lang, r.rank, r.size))
+    langs = sorted({r.lang for r in rows})
     if not langs:
         return {}
-    limit = min(SYMBOLS, ALL_SYMBOLS // len(langs))
-    place = {r.doc_id: (r.rank, r.lang) for r in ids}
-    texts = docs.where(F.col("doc_id").isin(list(place))).select("doc_id", F.substring("text", 1, limit).alias("text")).collect()
-    out: dict[str, list[int]] = {x: [] for x in langs}
-    for r in sorted(texts, key=lambda r: (place[r.doc_id], r.text)):
-        own = out[place[r.doc_id][1]]
-        if len(own) < limit:
-            raw = np.frombuffer(r.text.encode(), np.uint8)
-            found, _, lettered = normalised(raw, np.array([0, len(raw)]))
-            if lettered[0]:
-                own += [0, *found[: limit - len(own)].tolist()]
-    return {x: v for x, v in out.items() if v}
+    limit, chosen = min(SYMBOLS, ALL_SYMBOLS // len(langs)), []
+    for lang in langs:
+        left, own = limit, [r for r in rows if r.lang == lang]
+        for r in own:
+            if r.size <= left:
+                left -= r.size
+                chosen.append(r)
+        if left == limit:
+            chosen.append(min(own, key=lambda r: (r.size, r.rank)))
+    picked = F.broadcast(docs.sparkSession.createDataFrame([(r.lang, r.h, r.g, r.rank) for r in chosen], "lang string, h long, g long, rank int"))  # SAMPLE rows a language
+    found = (
+        docs.select("lang", "text", F.xxhash64("doc_id", "text").alias("h"), F.xxhash64(F.lit(1), "doc_id", "text").alias("g"))
+        .join(picked, ["lang", "h", "g"]).select("lang", "rank", F.substring("text", 1, limit).alias("text")).dropDuplicates(["lang", "rank"]).collect()
+    )
+    out: dict[str, list[int]] = {}
+    for r in sorted(found, key=lambda r: (r.lang, r.rank)):
+        raw = np.frombuffer(r.text.encode(), np.uint8)
+        symbols, _, lettered = normalised(raw, np.array([0, len(raw)]))
+        if lettered[0]:
+            out.setdefault(r.lang, []).extend([0, *symbols.tolist()])
+    return out
 
 
 def identify(docs: DataFrame, samples: dict[str, list[int]], id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score) of each whole text.
 
     ``und`` and score 0 where the text is null, empty or without letters, or
-    nothing was learned. Of languages with equally few phrases the first by name
-    wins. The score is the winner's share when languages weigh as the eighth
-    power of their phrases' inverse. Repeated rows give a row each.
+    nothing was learned. Of languages with equal entropies the first by name wins.
+    The score is the winner's share when languages weigh as the eighth power of
+    their entropies' inverse. Repeated rows give a row each.
     """
     held = docs.sparkSession.sparkContext.broadcast(samples)
 

@@ -45,26 +45,51 @@ def brute_phrases(sample, t):
     return n
 
 
-def test_phrases_by_search():
+def spelt(t):
+    raw = np.frombuffer(t.encode(), np.uint8)
+    return "".join(chr(c) if c else " " for c in langid.normalised(raw, np.array([0, len(raw)]))[0].tolist())
+
+
+def brute_language(samples, t):
+    """The language with the least phrases times the logarithm of its sample's length, and all phrases by name."""
+    found = {lang: brute_phrases(own, spelt(t)) if spelt(t) else 0 for lang, own in samples.items()}
+    return min(sorted(found), key=lambda lang: found[lang] * math.log2(max(2, len(samples[lang])))), [found[x] for x in sorted(found)]
+
+
+@pytest.mark.parametrize("window, seen", [(2048, 256), (40, 8), (7, 3), (5, 0)])
+def test_phrases_and_predictions_by_search(monkeypatch, window, seen):
+    """Whatever the windows: letters without a column, texts of many windows, letters that no sample has."""
+    monkeypatch.setattr(langid, "WINDOW", window)
+    monkeypatch.setattr(langid, "SEEN", seen)
     rng = random.Random(5)
-    texts = {lang: sentence(rng, lang, 80) for lang in SYLLABLES}
-    symbols = lambda t: langid.normalised(raw := np.frombuffer(t.encode(), np.uint8), np.array([0, len(raw)]))[0]
-    parser = langid.Parser({lang: symbols(t).tolist() for lang, t in texts.items()})
-    docs = [sentence(rng, rng.choice(list(SYLLABLES)), rng.randrange(1, 90)) + rng.choice(["", " zzz", "é1"]) for _ in range(40)]
-    spell = lambda t: "".join(chr(c) if c else " " for c in symbols(t).tolist())
+    chinese = [chr(c) for c in range(0x4E00, 0x4E00 + 300)]
+    texts = {lang: sentence(rng, lang, n) for lang, n in zip(SYLLABLES, (80, 200, 40))} | {"zh": "".join(rng.choice(chinese) for _ in range(900))}
+    samples = {lang: spelt(t) for lang, t in texts.items()}
+    parser = langid.Parser({lang: [0 if c == " " else ord(c) for c in t] for lang, t in samples.items()})
+    assert parser.rare > 100
+    docs = [sentence(rng, rng.choice(list(SYLLABLES)), rng.randrange(1, 90)) + rng.choice(["", " zzz", "é1", chinese[3]]) for _ in range(40)]
+    docs += [sentence(rng, "bb", 1500), texts["zh"][100:160] + "ab", chinese[5] * 4000, "", " . ", "a" * 9000, texts["aa"] * 3 + texts["cc"], "x", texts["zh"] * 4]
     at = 0
     for a, b, data, offsets in text.chunks(pa.array(docs), 700):
-        found, _ = parser.phrases(data, offsets)
+        found, size, _ = parser.phrases(data, offsets)
+        langs, scores = parser.predict(data, offsets)
         for k in range(b - a):
-            t = spell(docs[a + k])
-            assert len(t) < langid.WINDOW
-            for row, lang in zip(found, parser.langs):
-                want = brute_phrases(spell(texts[lang]), t)
-                assert abs(row[k] - want) <= 1, (lang, t)  # a window's end closes one phrase more at most
+            lang, want = brute_language(samples, docs[a + k])
+            assert found[:, k].tolist() == want and size[k] == len(spelt(docs[a + k]))
+            assert langs[k] == (lang if any(c.isalpha() for c in docs[a + k]) else "und") and 0 <= scores[k] <= 1
         at = b
     assert at == len(docs)
 
 
+def test_samples_keep_their_labels(spark):
+    """Rows of one id under several labels, repeated rows, and texts that don't fit."""
+    rows = [(1, "aaa bbb", "x"), (1, "ccc", "y"), (1, "ccc", "y"), (1, "aaa bbb", "z"), (2, "ddd " * 20_000, "y"), (3, "eee " * 20_000, "w"), (4, None, "x"), (5, "!!", "x"), (None, "fff", "x"), (6, "ggg", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {lang: "".join(chr(c) if c else " " for c in t) for lang, t in langid.sample(df).items()}
+    assert set(got) == {"x", "y", "z", "w"} and got["y"] == " ccc" and got["z"] == " aaa bbb"
+    assert sorted(got["x"].replace(" fff", "").strip().split() + ["fff"]) == ["aaa", "bbb", "fff"] and got["w"].startswith(" eee eee") and len(got["w"]) <= langid.SYMBOLS + 1
+
+
 def test_toxicity(spark):
     rng = random.Random(3)
     bad = ["vile", "nasty", "hateful", "rotten"]
@@ -372,24 +397,6 @@ def test_no_training_rows(spark):
     assert pitman_yor.score_texts(df.limit(0), Store(spark)).count() == 0
 
 
-def test_every_letter_of_a_sample_counts():
-    rng = np.random.default_rng(11)
-    wide = [chr(c) for c in range(0x4E00, 0x4E00 + 900)]
-    texts = {name: "".join(rng.choice(own, 3000)) for name, own in (("a", list("abcdefg ") + wide[:10]), ("b", wide[:500]), ("c", wide[400:]))}
-    symbols = lambda t: langid.normalised(raw := np.frombuffer(t.encode(), np.uint8), np.array([0, len(raw)]))[0]
-    parser = langid.Parser({lang: [0, *symbols(t).tolist()] for lang, t in texts.items()})
-    assert parser.rare > 700
-
-    tests = [texts["b"][700:760], texts["c"][50:90] + "abc" + texts["b"][:30], wide[899], "dcba" + wide[450] + chr(0x9000) + texts["c"][9:20]]
-    raw = [t.encode() for t in tests]
-    counts, _ = parser.phrases(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
-    plain = {lang: "".join(chr(c) if c else " " for c in symbols(t)) for lang, t in texts.items()}
-    want = np.array([[brute_phrases(plain[lang], t) for t in tests] for lang in parser.langs])
-    assert (abs(counts - want) <= 1).all() and counts[2, 0] > 40 and counts[1, 0] == 1
-    rarest = max(set(texts["c"]) - set(texts["b"]), key=lambda x: parser._symbol[ord(x)]).encode()
-    assert parser.predict(np.frombuffer(rarest, np.uint8), np.array([0, len(rarest)]))[0] == ["c"]
-
-
 def test_sweeps_see_the_tables_before(spark, monkeypatch):
     df = spark.createDataFrame([(k, False, " ".join(f"w{k * j % 41}" for j in range(60))) for k in range(50)], "doc_id long, held_out boolean, text string")
     given, fitted = [], []
