@@ -4,6 +4,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from gridloom.llm import capjoin, decontam, neardup, text
@@ -37,6 +38,18 @@ def test_components(spark):
     assert connected_components(df.limit(0), Store(spark)).count() == 0
 
 
+def test_long_chain_and_hub(spark):
+    """A path whose numbers go up and down, and a node with half of all edges."""
+    rng = random.Random(7)
+    names = rng.sample(range(10_000), 700)
+    pairs = list(zip(names, names[1:])) + [(20_000, 20_001 + k) for k in range(700)]
+    df = spark.createDataFrame(pairs, "a long, b long")
+    got = {r.id: r.root for r in connected_components(df, Store(spark)).collect()}
+    assert got == {n: min(names) for n in names} | {20_000 + k: 20_000 for k in range(701)}
+    with pytest.raises(RuntimeError, match="not settled"):
+        connected_components(df, Store(spark), rounds=2)
+
+
 def words_of(t):
     return [w.translate({c: c + 32 for c in range(65, 91)}) for w in re.findall(r"[0-9A-Za-z\x80-\U0010ffff]+", t or "")]
 
@@ -79,8 +92,9 @@ def test_near_duplicates(spark, monkeypatch):
     rows = corpus()
     want = brute_jaccard(rows)
     df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, class_id string")
-    for block in (1024, 8):  # small blocks: groups are compared in parts
+    for block, large in ((1024, 1 << 14), (8, 6)):  # small blocks: groups are compared in parts; large prefixes are gathered whole
         monkeypatch.setattr(neardup, "BLOCK", block)
+        monkeypatch.setattr(neardup, "LARGE", large)
         got = {r.doc_id: (r.class_id, r.n_links) for r in neardup.near_duplicates(df, Store(spark)).collect()}
         assert [got[i] for i, _ in rows] == want
     out = neardup.near_duplicates(spark.createDataFrame([(5, "a b c d e"), (5, "a b c d e"), (None, "a b c d e"), (None, None)], "doc_id long, text string"), Store(spark)).collect()
@@ -88,6 +102,35 @@ def test_near_duplicates(spark, monkeypatch):
     assert neardup.near_duplicates(df.limit(0), Store(spark)).count() == 0
 
 
+def test_one_id_with_several_texts(spark):
+    rows = [(5, "a b c d e f"), (5, "u v w x y z"), (6, "A b c d e f"), (7, "u v w x y z"), (5, "u v w x y z"), (None, "q q q q q q"), (None, "q q q q q q")]
+    out = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), Store(spark)).collect()
+    assert sorted((r.doc_id or 0, r.class_id or 0, r.n_links) for r in out) == [(0, 0, 0), (0, 0, 0), (5, 5, 1), (5, 5, 2), (5, 5, 2), (6, 5, 1), (7, 5, 2)]
+
+
+def test_prefixes_are_shortened_until_the_recall(spark, monkeypatch):
+    """Copies that differ little are found by whole labels; pairs near the threshold ask for shorter ones, and are found."""
+    rng = random.Random(3)
+    asked = []
+    labels = neardup._labels
+    monkeypatch.setattr(neardup, "_labels", lambda depth: asked.append(depth) or labels(depth))
+    for share, depths in ((0.002, 1), (0.02, 2)):
+        rows = []
+        for k in range(150):
+            words = [f"w{rng.randrange(3000)}" for _ in range(500)]
+            other = list(words)
+            for at in rng.sample(range(500), int(500 * share)):
+                other[at] = "new"
+            rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+        asked.clear()
+        got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), Store(spark)).collect()
+        want = brute_jaccard(rows)
+        assert sorted((r.doc_id, r.class_id, r.n_links) for r in got) == sorted((i, c, n) for (i, _), (c, n) in zip(rows, want))
+        assert len(set(asked)) == depths and max(asked) == neardup.DEPTH
+    assert neardup.estimated_recall(6, {114: 10}, 0.8) > neardup.estimated_recall(6, {114: 10, 96: 10}, 0.8) > neardup.estimated_recall(6, {96: 10}, 0.8) == neardup.estimated_recall(6, {90: 3}, 0.8)
+    assert neardup.estimated_recall(6, {}, 0.8) == 0
+
+
 def test_forest_depth_and_signatures():
     assert 1 - (1 - 0.8 ** neardup.prefix_depth()) ** neardup.TREES >= neardup.RECALL > 1 - (1 - 0.8 ** (neardup.prefix_depth() + 1)) ** neardup.TREES
     assert neardup.prefix_depth(0.99) == neardup.DEPTH
@@ -119,9 +162,11 @@ def brute_leaks(docs, items):
         t = plain(t)
         for i, p in items:
             p = plain(p)
-            if len(p) < decontam.LEAST:
+            if len(p) < decontam.LEAST:  # as it is, between word ends
+                if p and f" {p} " in f" {t} ":
+                    out.add((d, i, 0))
                 continue
-            k = min(math.floor(decontam.BUDGET * len(p) + 1e-9), max(0, (len(p) - decontam.Q) // decontam.Q))
+            k = math.floor(decontam.BUDGET * len(p) + 1e-9)
             row = np.zeros(len(t) + 1, np.int64)
             for c in p:
                 new = np.minimum(row[:-1] + (np.array([x != c for x in t], np.int64) if t else 0), row[1:] + 1) if t else np.zeros(0, np.int64)
@@ -162,10 +207,34 @@ def test_leaks(spark):
     want = brute_leaks(docs, [(i, t) for i, t in items if i is not None and t])
     assert set(got) == want and len(got) == len(want) + 1  # the repeated row
     kept = {r.doc_id for r in decontam.keep_clean(df, bench).collect()}
-    assert kept == {d for d, _ in docs} - {d for d, _, _ in want}
+    long = {i for i, t in items if t and len(re.sub(r"[\W_]+", " ", t).strip()) >= decontam.LEAST}
+    assert kept == {d for d, _ in docs} - {d for d, i, _ in want if i in long}
     assert decontam.find_leaks(df, bench.limit(0)).count() == 0 == decontam.find_leaks(df.limit(0), bench).count()
 
 
+def test_short_items_and_whole_budgets(spark, monkeypatch):
+    """All lengths of items with as many edits as they have, and with one more; common q-grams in parts."""
+    rng = random.Random(9)
+    letter = lambda: rng.choice("abcdefghijklmnopqrstuvwxyz")
+    items = [(n, "".join(letter() for _ in range(n))) for n in range(1, 60)] + [(100, "ab ab ab ab ab ab ab ab ab ab"), (101, "yes"), (102, "ab" * 40)]
+    docs = []
+    for n, t in items:
+        for k in {0, n // 10, n // 10 + 1} if n < 60 else {0}:
+            edited = list(t)
+            for place in rng.sample(range(1, max(2, len(t) - 1)), min(k, max(1, len(t) - 2))):
+                edited[place % len(t)] = "0"
+            docs.append(f"before {''.join(edited)} behind")
+    docs += ["eyes yesterday", "Yes!", "ab " * 3000, "ab" * 3000]
+    docs = list(enumerate(docs))
+    want = brute_leaks(docs, items)
+    for hits in (1 << 21, 50):
+        monkeypatch.setattr(decontam, "HITS", hits)
+        index = decontam.Index(items)
+        found = {(docs[a + d][0], int(index.ids[i]), e) for a, _, data, offsets in text.chunks(pa.array([t for _, t in docs])) for d, i, e, _, _ in index.find(data, offsets)}
+        assert found == want
+    assert (23, 20) not in {(d, i) for d, i, _ in want} and sum(e == 2 for _, i, e in want if i == 20) == 1
+
+
 def test_leaks_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontam, "BLOCK", 60)
     items = [(k, f"this is benchmark item number {k} of a small list of items") for k in range(6)]
