@@ -1,14 +1,18 @@
 """N-gram Jaccard join of texts by a MinHash LSH forest with exact verification.
 
 Texts with the same words in the same order form a class that is joined as one.
-Each class has ``TREES`` labels of ``DEPTH`` MinHash values. In a tree sorted by
-label, classes with a common prefix stand side by side; the matched prefix is
-shortened from the whole label until a pair at the threshold shares one in some
-tree with the target probability. Within a matched prefix, leaders gather all
-that their signatures can't tell from being near them; the components of these
-gatherings are then verified exactly, in blocks of bounded size, by counting
-common shingles. Pairs are never written out: a block yields sums of links and
-the roots of its linked classes.
+Each class has ``TREES`` labels of ``DEPTH`` MinHash values. A tree is its sorted
+labels; classes with a common prefix stand side by side in it. The forest is
+asked with whole labels first. From the signatures of what it matches, the share
+of near pairs that it finds at this depth is estimated; while that is less than
+``RECALL``, matched prefixes are shortened by one value, at the most to where a
+pair just at the threshold is found that surely.
+
+Within a matched prefix, leaders gather all that their signatures can't tell from
+being near them. Gathered classes are dealt to blocks of bounded size, those of a
+prefix to the same one, and exactly the blocks that share a matched prefix are
+verified with each other, by counting common shingles. Pairs are never written
+out: a block yields sums of links and the roots of its linked classes.
 """
 
 from __future__ import annotations
@@ -20,13 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .graph import connected_components
-from .store import Store, documents, grouped, in_groups
+from .store import Store, documents, grouped, in_groups, join_by_size
 from .text import _power_tables, chunks, mix, shingles, words
 
 SIZE, THRESHOLD = 5, 0.8
 TREES, DEPTH, RECALL = 20, 6, 0.9995
-#: Classes of a component that are compared in one group, with as many others at most.
+#: Classes of a block on average, which is compared with itself and with one other at a time.
 BLOCK = 1024
+#: Classes of a matched prefix beyond which all are gathered, without looking at signatures.
+LARGE = 1 << 14
 #: Signatures alike in ``TIGHT`` of their values stand for each other; those alike in ``LOOSE`` may be near the same third.
 TIGHT, LOOSE = 0.9, 0.48
 _random = np.random.default_rng(20240229)
@@ -34,14 +40,25 @@ _A = (_random.integers(0, 1 << 32, TREES * DEPTH, dtype=np.uint32)) | np.uint32(
 _B = _random.integers(0, 1 << 32, TREES * DEPTH, dtype=np.uint32)
 
 
+def found_at(depth: int, similarity: float) -> float:
+    """Probability that a pair of this similarity shares a prefix of so many values in some tree."""
+    return 1 - (1 - similarity**depth) ** TREES
+
+
 def prefix_depth(threshold: float = THRESHOLD, recall: float = RECALL) -> int:
-    """The longest prefix, of ``DEPTH`` or fewer values, that meets the recall at the threshold."""
+    """The depth that prefixes are shortened to at the most: the longest of ``DEPTH`` or fewer values that finds a pair at the threshold with probability ``recall``."""
     depth = DEPTH
-    while depth > 1 and 1 - (1 - threshold**depth) ** TREES < recall:
+    while depth > 1 and found_at(depth, threshold) < recall:
         depth -= 1
     return depth
 
 
+def estimated_recall(depth: int, alike: dict[int, int], threshold: float) -> float:
+    """Share of near pairs that prefixes of this depth find, from the numbers of found pairs by equal MinHash values; 0 where there are none."""
+    weights = [(n, found_at(depth, max(threshold, k / (TREES * DEPTH)))) for k, n in alike.items()]
+    return sum(n for n, _ in weights) / sum(n / p for n, p in weights) if weights else 0.0
+
+
 def signatures(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """16 bits of each MinHash value of each text; texts without shingles get zeros."""
     out = np.zeros((len(offsets) - 1, TREES * DEPTH), np.uint16)
@@ -53,25 +70,24 @@ def signatures(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def sequence_hashes(h: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent 64-bit hashes of each text's sequence of words."""
+def sequence_hashes(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """64-bit hash of each text's sequence of words."""
     up, down = _power_tables(len(h) + 1)
     size = np.diff(offsets).astype(np.uint64)
     found = []
     for salt in (0x2545F4914F6CDD1D, 0x9FB21C651E98DF25):
         sums = np.r_[np.uint64(0), np.cumsum(mix(h ^ np.uint64(salt)) * up[: len(h)])]
-        found.append(mix((sums[offsets[1:]] - sums[offsets[:-1]]) * down[np.minimum(offsets[:-1], len(h))] + size).view(np.int64))
-    return found[0], found[1]
+        found.append(mix((sums[offsets[1:]] - sums[offsets[:-1]]) * down[np.minimum(offsets[:-1], len(h))] + size))
+    return mix(found[0] ^ (found[1] * np.uint64(3))).view(np.int64)
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for a, b, data, offsets in chunks(batch.column(1)):
+        for a, b, data, offsets in chunks(batch.column(2)):
             h, _, _, at = words(data, offsets)
-            one, two = sequence_hashes(h, at)
             found = signatures(*shingles(h, at, SIZE))
             own = [row.tobytes() if n else None for row, n in zip(found, np.diff(at).tolist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(one), pa.array(two), pa.array(own, pa.binary())], ["doc_id", "h1", "h2", "signature"])
+            yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], pa.array(sequence_hashes(h, at)), pa.array(own, pa.binary())], ["doc_id", "whole", "id", "signature"])
 
 
 def _labels(depth: int):
@@ -90,36 +106,45 @@ def _labels(depth: int):
 
 
 def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key to (group, id) of the keys that several ids have; equal sets of ids give equal groups."""
+    """Rows sorted by key to (grp, id, n, least) of the keys that several ids have: n ids, the least among them; equal sets of ids give equal groups."""
     for table, at in in_groups(batches, ["key"]):
         ids = table.column("id").to_numpy()
         size = np.diff(at)
         group = np.add.reduceat(mix(ids.astype(np.uint64) + np.uint64(0x51ED2701)), at[:-1]).view(np.int64) if len(size) else size
+        least = np.minimum.reduceat(ids, at[:-1]) if len(size) else size
         several = np.repeat(size > 1, size)
         if several.any():
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(group, size)[several]), pa.array(ids[several])], ["grp", "id"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(x, size)[several]) for x in (group,)] + [pa.array(ids[several])] + [pa.array(np.repeat(x, size)[several]) for x in (size, least)], ["grp", "id", "n", "least"])
 
 
-def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (grp, id, signature) sorted by grp to edges (a, b): of what leaders gather together, each with the first."""
-    for table, at in in_groups(batches, ["grp"]):
-        ids = table.column("id").to_numpy()
-        own = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint16).reshape(len(ids), -1)
-        first = np.arange(len(ids))
-        for i, j in zip(at[:-1].tolist(), at[1:].tolist()):
-            part, label = own[i:j], np.arange(j - i)
-            left = label
-            while len(left):
-                lead = left[0]
-                alike = np.concatenate([(part[k : k + 4096] == part[lead]).mean(axis=1) for k in range(0, j - i, 4096)])
-                met = np.zeros(j - i, bool)
-                met[label[alike >= LOOSE]] = True
-                label = np.where(met[label], np.flatnonzero(met)[0], label)
-                left = left[(alike[left] < TIGHT) & (left != lead)]
-            first[i:j] = label + i
-        joined = np.flatnonzero(first != np.arange(len(ids)))
-        if len(joined):
-            yield pa.RecordBatch.from_arrays([pa.array(ids[first[joined]]), pa.array(ids[joined])], ["a", "b"])
+def _gather(threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (grp, id, signature) sorted by grp to edges (a, b, alike): of what leaders gather together, each with the first.
+
+        alike: of the leaders that b may be near to the threshold with, the least number of equal values.
+        """
+        for table, at in in_groups(batches, ["grp"]):
+            ids = table.column("id").to_numpy()
+            own = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint16).reshape(len(ids), -1)
+            first, least = np.arange(len(ids)), np.full(len(ids), 2.0)
+            for i, j in zip(at[:-1].tolist(), at[1:].tolist()):
+                part, label = own[i:j], np.arange(j - i)
+                left = label
+                while len(left):
+                    lead = left[0]
+                    alike = np.concatenate([(part[k : k + 4096] == part[lead]).mean(axis=1) for k in range(0, j - i, 4096)])
+                    met = np.zeros(j - i, bool)
+                    met[label[alike >= LOOSE]] = True
+                    label = np.where(met[label], np.flatnonzero(met)[0], label)
+                    least[i:j] = np.minimum(least[i:j], np.where((alike >= threshold - 0.05) & (np.arange(j - i) != lead), alike, 2))
+                    left = left[(alike[left] < TIGHT) & (left != lead)]
+                first[i:j] = label + i
+            joined = np.flatnonzero(first != np.arange(len(ids)))
+            if len(joined):
+                alike = np.rint(least[joined] * TREES * DEPTH).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[first[joined]]), pa.array(ids[joined]), pa.array(alike, mask=least[joined] > 1)], ["a", "b", "alike"])
+
+    return run
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,6 +216,48 @@ def _verify(threshold: float):
     return run
 
 
+def _forest(classes: DataFrame, store: Store, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Matched prefixes (grp, id, n, least) and the edges (a, b) of what they gather, at the depth that the recall asks for."""
+    for depth in range(DEPTH, prefix_depth(threshold) - 1, -1):
+        labels = classes.select("id", "signature").mapInArrow(_labels(depth), "key long, id long")
+        matched = store.keep(grouped(labels, ["key"], _matched, "grp long, id long, n long, least long").distinct(), "matched")
+        small = matched.where(F.col("n") <= LARGE).join(classes.select("id", "signature"), "id").select("grp", "id", "signature")
+        edges = store.keep(grouped(small, ["grp"], _gather(threshold), "a long, b long, alike long"), "edges")
+        alike = {r.alike: r.n for r in edges.where("alike is not null").groupBy("alike").agg(F.count("*").alias("n")).collect()}
+        if estimated_recall(depth, alike, threshold) >= RECALL:
+            break
+        if depth > prefix_depth(threshold):
+            store.drop(matched)
+            store.drop(edges)
+    whole = matched.where((F.col("n") > LARGE) & (F.col("id") != F.col("least"))).select(F.col("least").alias("a"), F.col("id").alias("b"))
+    return matched, edges.select("a", "b").unionByName(whole)
+
+
+def _dealt(matched: DataFrame, members: DataFrame, store: Store) -> tuple[DataFrame, DataFrame]:
+    """``members`` (id, root, ...) with their block, and the pairs (root, low, high) of blocks that share a matched prefix.
+
+    Components of one block have block 0. In larger ones the block comes from the
+    least prefix that a class is matched in, so that classes of one prefix mostly
+    share it; prefixes of more than a block are dealt to several.
+    """
+    large = members.groupBy("root").agg(F.ceil(2 * F.count("*") / BLOCK).cast("long").alias("blocks"), F.count("*").alias("n")).where(F.col("n") > BLOCK).drop("n")
+    some = members.select("id", "root").join(large, "root")
+    anchors = matched.groupBy("id").agg(F.min("grp").alias("anchor")).join(some, "id")
+    wide = anchors.groupBy("anchor").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("parts")).where("parts > 1")
+    own = store.keep(
+        anchors.join(wide, "anchor", "left").select(
+            "id", "root",
+            F.when(F.col("parts").isNull(), F.pmod(F.xxhash64("anchor"), F.col("blocks")) + 1)
+            .otherwise(-1 - F.pmod(F.xxhash64("anchor", F.pmod(F.xxhash64("id"), F.col("parts"))), F.lit(1 << 62))).alias("block"),
+        ),
+        "blocks",
+    )
+    met = matched.select("grp", "id").join(own, "id").select("grp", "root", "block").distinct()
+    pairs = met.join(met.select("grp", F.col("block").alias("other")), "grp").where("block <= other").select("root", F.col("block").alias("low"), F.col("other").alias("high"))
+    itself = own.select("root", F.col("block").alias("low"), F.col("block").alias("high"))
+    return own, pairs.unionByName(itself).distinct()
+
+
 def near_duplicates(docs: DataFrame, store: Store, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, class_id, n_links, kept) of each row of ``docs`` (doc_id, text).
 
@@ -199,44 +266,48 @@ def near_duplicates(docs: DataFrame, store: Store, threshold: float = THRESHOLD)
     digits and of all characters beyond ASCII, in small letters. A text of one to
     four words has one run, all of them; a text without words or null links with
     nothing. n_links counts other rows linked directly, class_id is the least
-    doc_id reachable over links, kept says doc_id = class_id. Ids tell texts
-    apart: rows of one id count as copies of each other's place. A null id has
-    class_id null and is never kept.
+    doc_id reachable over links, kept says doc_id = class_id. Rows of one id stay
+    apart, each with the links of its own text. A null id has class_id null and is
+    never kept; a class of rows without ids links with nothing. Classes are told
+    apart by 64 bits.
     """
-    signed = store.keep(docs.select("doc_id", "text").mapInArrow(_sign, "doc_id long, h1 long, h2 long, signature binary"), "signed")
+    signed = store.keep(
+        docs.select("doc_id", F.xxhash64("text").alias("whole"), "text").mapInArrow(_sign, "doc_id long, whole long, id long, signature binary"), "signed"
+    )
+    worded = signed.where(F.col("signature").isNotNull())
+    named = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "whole"))
     same = store.keep(
-        signed.where(F.col("signature").isNotNull()).groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies")).where(F.col("id").isNotNull()),
+        worded.groupBy("id").agg(F.min(named).alias("of"), F.count("*").alias("copies"), F.min("signature").alias("signature"))
+        .select("id", F.col("of.doc_id").alias("doc_id"), F.col("of.whole").alias("whole"), "copies", "signature"),
         "classes",
     )
-    own = same.select("id").join(signed.where(F.col("signature").isNotNull()).select(F.col("doc_id").alias("id"), "signature"), "id")
-    labels = own.select("id", "signature").mapInArrow(_labels(prefix_depth(threshold)), "key long, id long")
-    groups = grouped(labels, ["key"], _matched, "grp long, id long").distinct()
-    edges = grouped(groups.join(own, "id").select("grp", "id", "signature"), ["grp"], _gather, "a long, b long")
-    members = store.keep(connected_components(edges, store), "components").join(same.select("id", "copies"), "id")
-    large = members.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")).where("blocks > 1")
-    placed = members.join(large, "root", "left").select(
-        "id", "root", "copies", F.coalesce("blocks", F.lit(1)).cast("long").alias("blocks"),
-        F.pmod(F.xxhash64("id"), F.coalesce("blocks", F.lit(1)).cast("long")).alias("block"),
+    every, same = same, same.where(F.col("doc_id").isNotNull())
+    matched, edges = _forest(same, store, threshold)
+    members = store.keep(store.keep(connected_components(edges, store), "components").join(same.select("id", "doc_id", "whole", "copies"), "id"), "members")
+    blocks, pairs = _dealt(matched, members, store)
+    placed = members.join(blocks.select("id", "block"), "id", "left").withColumn("block", F.coalesce("block", F.lit(0).cast("long")))
+    texts = (
+        docs.select("doc_id", F.xxhash64("text").alias("whole"), "text").join(placed.hint("shuffle_hash"), ["doc_id", "whole"])
+        .groupBy("doc_id", "whole", "id", "root", "copies", "block").agg(F.max("text").alias("text"))  # repeated rows
     )
-    texts = docs.select(F.col("doc_id").alias("id"), "text").join(placed.hint("shuffle_hash"), "id").groupBy("id", "root", "copies", "blocks", "block").agg(F.max("text").alias("text"))  # repeated rows of an id count once here
-    sets = texts.mapInArrow(_sets, "id long, root long, copies long, blocks long, block long, shingles binary")
-    pairs = sets.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
-        "root", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "id", "copies", "block", "shingles"
+    sets = store.keep(texts.select("id", "root", "copies", "block", "text").mapInArrow(_sets, "id long, root long, copies long, block long, shingles binary"), "sets")
+    partners = pairs.select("root", F.explode(F.array_distinct(F.array("low", "high"))).alias("block"), "low", "high")
+    zero = F.lit(0).cast("long")
+    asked = sets.where("block = 0").withColumns({"low": zero, "high": zero}).unionByName(sets.where("block <> 0").join(partners, ["root", "block"]))
+    verified = store.keep(
+        grouped(asked.select("root", "low", "high", "id", "copies", "block", "shingles"), ["root", "low", "high"], _verify(threshold), "id long, links long, root long"), "verified"
     )
-    verified = store.keep(grouped(pairs, ["root", "low", "high"], _verify(threshold), "id long, links long, root long"), "verified")
     links = verified.groupBy("id").agg(F.sum("links").alias("links"))
-    found = connected_components(verified.select(F.col("id").alias("a"), F.col("root").alias("b")), store)
-    by_class = same.join(links.join(found, "id", "left"), "id", "left").select("h1", "h2", "id", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "id").alias("class_id"))
-    return (
-        signed.withColumn("wordless", F.col("signature").isNull()).select("doc_id", "h1", "h2", "wordless")
-        .join(by_class, (signed.h1 == by_class.h1) & (signed.h2 == by_class.h2) & ~F.col("wordless"), "left")
-        .select(
-            "doc_id",
-            F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"),
-            F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)).cast("long").alias("n_links"),
-        )
-        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(False)))
+    found = store.keep(connected_components(verified.select(F.col("id").alias("a"), F.col("root").alias("b")), store), "linked")
+    least = found.join(same.select("id", "doc_id"), "id").groupBy("root").agg(F.min("doc_id").alias("class_id"))
+    by_class = every.select("id", "doc_id", "copies").join(links, "id", "left").join(found.join(least, "root").select("id", "class_id"), "id", "left").select(
+        "id", "copies", F.when(F.col("doc_id").isNull(), zero).otherwise(F.coalesce("links", zero) + F.col("copies") - 1).alias("n_links"), F.coalesce("class_id", "doc_id").alias("class_id")
     )
+    joined = join_by_size(worded.select("doc_id", "id"), by_class, ["id"], "copies", every.agg(F.coalesce(F.sum("copies"), zero)).first()[0]).select("doc_id", "class_id", "n_links")
+    wordless = signed.where(F.col("signature").isNull()).select("doc_id", F.col("doc_id").alias("class_id"), zero.alias("n_links"))
+    return joined.unionByName(wordless).select(
+        "doc_id", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"), F.col("n_links").cast("long").alias("n_links"),
+    ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(False)))
 
 
 def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -94,13 +94,17 @@ def grouped(df: DataFrame, keys: list[str], then: Callable, schema: str, parts:
 def join_by_size(rows: DataFrame, table: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
     """``rows`` with what ``table`` knows of their ``keys``: one row for each key, with the number of its rows in ``size``.
 
-    A key that holds more than a thousandth of the ``total`` rows is sent to all
-    tasks, and its rows stay where they are; there are at most a thousand such
-    keys. The other rows are shuffled, of which no key has many.
+    What is known of keys that hold more than a thousandth of the ``total`` rows is
+    sent to all tasks; there are at most a thousand. In the shuffle that joins the
+    others the rows of these keys are spread by their own hash.
     """
-    hot = F.broadcast(table.where(F.col(size) > max(1, total // 1000)))
-    rest = rows.join(F.broadcast(hot.select(keys)), keys, "left_anti").join(table.where(F.col(size) <= max(1, total // 1000)), keys)
-    return rows.join(hot, keys).unionByName(rest)
+    limit = max(1, total // 1000)
+    known = F.struct(*(c for c in table.columns if c not in keys))
+    hot = table.where(F.col(size) > limit).select(*keys, known.alias("_hot"))
+    cold = table.where(F.col(size) <= limit).select(*keys, F.lit(0).cast("long").alias("_part"), known.alias("_cold"))
+    parted = rows.join(F.broadcast(hot), keys, "left").withColumn("_part", F.when(F.col("_hot").isNull(), F.lit(0).cast("long")).otherwise(1 + F.pmod(F.xxhash64(*rows.columns), F.lit(1 << 30))))
+    joined = parted.join(cold, [*keys, "_part"], "left").withColumn("_known", F.coalesce("_hot", "_cold")).where(F.col("_known").isNotNull())
+    return joined.select(*rows.columns, "_known.*")
 
 
 def keep_rows(df: DataFrame, make: Callable[[], Callable]) -> DataFrame:
