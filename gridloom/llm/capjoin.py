@@ -21,19 +21,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .graph import connected_components
-from .neardup import roots_of
-from .store import Store, grouped, in_groups
+from .store import Store, grouped, in_groups, join_by_size
 from .text import mix
 
 THRESHOLD = 0.95
-#: Filters that a random vector exceeds, and vectors that a filter then holds, on average.
-PASSED, HELD = 26, 256
+#: Filters that a random vector exceeds, and vectors that a filter then holds, on average: each vector is sent once for each of its filters, so they are few and wide.
+PASSED, HELD = 4, 2048
 #: Codewords of a block at most; more filters take more blocks.
 WORDS = 256
 #: Share of random pairs at the threshold that have to share a filter, pairs that are tried, and filters of a vector, as a multiple of PASSED, before a coarser code is taken.
-RECALL, PAIRS, MOST = 0.99, 400, 8
-#: Vectors of a filter that are compared in one group, with as many others at most.
-BLOCK = 1024
+RECALL, PAIRS, MOST = 0.995, 1000, 16
+#: Vectors of a filter that are compared in one group, with as many others at most, and rows of a matrix at a time.
+BLOCK, TILE = 4096, 512
+#: Filters of more than a block that are sent to all tasks (16 bytes each); were there more, they would be joined by shuffle.
+WIDE = 1 << 20
 
 
 def clean(value) -> np.ndarray | None:
@@ -108,7 +109,7 @@ class Caps:
             both = (seen[:2, 1:] == seen[:2, :-1]).all(axis=0) if seen.shape[1] > 1 else np.zeros(0, bool)
             if len(np.unique(seen[0, 1:][both])) >= RECALL * PAIRS:
                 return taken
-            taken *= 2
+            taken = math.ceil(taken * 1.5)
         return 0
 
     def _parts(self, units: np.ndarray) -> list[np.ndarray]:
@@ -185,37 +186,55 @@ def _filters(n: int, whole: bool, kind: str):
 
 
 def _share_less(filters: list[np.ndarray], than: int) -> np.ndarray:
-    """Whether two vectors share a filter that is less than ``than``."""
+    """Marks of the filters less than ``than`` by row: two vectors share one where the product of their marks isn't 0."""
     less = [f[f < than] for f in filters]
     every, which = np.unique(np.concatenate(less), return_inverse=True)
     marks = np.zeros((len(filters), len(every)), np.float32)
     marks[np.repeat(np.arange(len(filters)), [len(f) for f in less]), which] = 1
-    return marks @ marks.T > 0
+    return marks
+
+
+def _compare(v: np.ndarray, block: np.ndarray | None, threshold: float) -> np.ndarray:
+    """Which rows are linked, a tile of the product at a time; with ``block`` only rows of different blocks."""
+    linked = np.empty((len(v), len(v)), bool)
+    for a in range(0, len(v), TILE):
+        linked[a : a + TILE] = v[a : a + TILE] @ v.T >= threshold
+        if block is not None:
+            linked[a : a + TILE] &= block[a : a + TILE, None] != block[None, :]
+    np.fill_diagonal(linked, False)
+    return linked
+
+
+def _roots(linked: np.ndarray) -> np.ndarray:
+    """The least number that each row of a symmetric matrix reaches."""
+    root = np.arange(len(linked))
+    while True:
+        new = np.concatenate([np.zeros(0, np.int64), *(np.where(linked[a : a + TILE], root[None, :], len(linked)).min(axis=1) for a in range(0, len(linked), TILE))])
+        new = np.minimum(root, new)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
 
 
 def _verify(threshold: float, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, at in in_groups(batches, ["filter", "low", "high"]):
             of, ids, copies, block, low, high = (table.column(c).to_numpy() for c in ("filter", "id", "copies", "block", "low", "high"))
-            units, lists = table.column("unit").to_pylist(), table.column("filters").to_pylist()
-            out: list[tuple[np.ndarray, ...]] = []
+            units, lists = table.column("unit"), table.column("filters")
             for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
                 if b - a < 2:
                     continue
-                v = scaled(units[a:b], kind)
-                linked = v @ v.T >= threshold
-                np.fill_diagonal(linked, False)
-                if low[a] != high[a]:
-                    linked &= block[a:b][:, None] != block[a:b][None, :]
+                linked = _compare(scaled(units.slice(a, b - a).to_pylist(), kind), block[a:b] if low[a] != high[a] else None, threshold)
                 some = np.flatnonzero(linked.any(axis=1))
                 if not len(some):
                     continue
                 linked = linked[np.ix_(some, some)]
-                first = linked & ~_share_less([np.frombuffer(lists[a + s], np.int64) for s in some], int(of[a]))
-                links = (first @ copies[a:b][some]).astype(np.int64)
-                out.append((ids[a:b][some], links, ids[a:b][some[roots_of(linked)]]))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*out)], ["id", "links", "root"])
+                marks = _share_less([np.frombuffer(lists[a + s].as_buffer(), np.int64) for s in some.tolist()], int(of[a]))
+                weight = copies[a:b][some].astype(np.float64)
+                links = np.concatenate([(linked[t : t + TILE] & ~(marks[t : t + TILE] @ marks.T > 0)) @ weight for t in range(0, len(some), TILE)])
+                found = ids[a:b][some], links.astype(np.int64), ids[a:b][some[_roots(linked)]]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["id", "links", "root"])
 
     return run
 
@@ -232,31 +251,30 @@ def near_vectors(vectors: DataFrame, store: Store, threshold: float = THRESHOLD)
     kind = "f4" if dict(vectors.dtypes)["embedding"] == "array<float>" else "f8"
     units = store.keep(vectors.select("vec_id", "embedding").mapInArrow(_units(kind), "vec_id long, unit binary").withColumns({"h1": F.xxhash64("unit"), "h2": F.xxhash64(F.lit(1), "unit")}), "units")
     fine = units.where(F.col("unit").isNotNull())
-    same = fine.groupBy("h1", "h2").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")).where(F.col("id").isNotNull())
-    same = store.keep(same, "classes")
+    every = store.keep(fine.groupBy("h1", "h2").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")), "classes")
+    same = every.where(F.col("id").isNotNull())
     n = same.count()
     own = store.keep(same.join(fine.select(F.col("vec_id").alias("id"), "h1", "h2", "unit"), ["id", "h1", "h2"]).dropDuplicates(["id"]).select("id", "copies", "unit"), "own")
-    counts = own.mapInArrow(_filters(n, False, kind), "filter long, n long").groupBy("filter").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks")).where("blocks > 1")
-    blocks = F.coalesce("blocks", F.lit(1)).cast("long")
-    rows = own.mapInArrow(_filters(n, True, kind), "filter long, id long, copies long, unit binary, filters binary").join(counts, "filter", "left")
-    dealt = rows.withColumns({"block": F.pmod(F.xxhash64("id"), blocks), "other": F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))}).select(
+    counts = own.mapInArrow(_filters(n, False, kind), "filter long, n long").groupBy("filter").agg(F.ceil(F.sum("n") / BLOCK).cast("long").alias("blocks"))
+    wide = store.keep(counts.where("blocks > 1"), "wide")
+    rows = own.mapInArrow(_filters(n, True, kind), "filter long, id long, copies long, unit binary, filters binary")
+    rows = rows.join(F.broadcast(wide) if wide.count() <= WIDE else wide.hint("shuffle_hash"), "filter", "left")
+    blocks, zero = F.coalesce("blocks", F.lit(1).cast("long")), F.lit(0).cast("long")
+    dealt = rows.withColumns({"block": F.pmod(F.xxhash64("id"), blocks), "other": F.explode(F.sequence(zero, blocks - 1))}).select(
         "filter", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "id", "copies", "block", "unit", "filters"
     )
     verified = store.keep(grouped(dealt, ["filter", "low", "high"], _verify(threshold, kind), "id long, links long, root long"), "verified")
     links = verified.groupBy("id").agg(F.sum("links").alias("links"))
     found = connected_components(verified.select(F.col("id").alias("a"), F.col("root").alias("b")), store)
-    by_class = same.join(links.join(found, "id", "left"), "id", "left")
-    by_class = by_class.select("h1", "h2", F.lit(True).alias("fine"), "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "id").alias("class_id"))
-    return (
-        units.select("vec_id", "h1", "h2", F.col("unit").isNotNull().alias("fine"))
-        .join(by_class, ["h1", "h2", "fine"], "left")
-        .select(
-            "vec_id",
-            F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)).cast("long").alias("n_links"),
-            F.when(F.col("vec_id").isNotNull(), F.coalesce("class_id", "vec_id")).alias("component_id"),
-        )
-        .withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+    by_class = every.join(links.join(found, "id", "left"), "id", "left").select(
+        "h1", "h2", "copies", F.when(F.col("id").isNull(), zero).otherwise(F.coalesce("links", zero) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "id").alias("component_id")
     )
+    total = every.agg(F.coalesce(F.sum("copies"), zero)).first()[0]
+    joined = join_by_size(fine.select("vec_id", "h1", "h2"), by_class, ["h1", "h2"], "copies", total).select("vec_id", "n_links", "component_id")
+    bare = units.where(F.col("unit").isNull()).select("vec_id", zero.alias("n_links"), F.col("vec_id").alias("component_id"))
+    return joined.unionByName(bare).select(
+        "vec_id", F.col("n_links").cast("long").alias("n_links"), F.when(F.col("vec_id").isNotNull(), F.col("component_id")).alias("component_id")
+    ).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
 def op8_capjoin(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -256,8 +256,10 @@ def test_vectors(spark, monkeypatch):
     want = linked.sum(1), neardup.roots_of(linked)
     odd = [(2000, None), (2001, []), (2002, [0.0] * 16), (2003, [float("nan")] + [1.0] * 15), (2004, [None] + [1.0] * 15), (2005, [1.0, 2.0]), (2006, [2.0, 4.0])]
     df = spark.createDataFrame([(k, [float(x) for x in row], 0) for k, row in enumerate(v)] + [(i, x, 0) for i, x in odd], "vec_id long, embedding array<float>, component_id int")
-    for block in (1024, 32):
+    for block, tile, wide in ((1024, 512, 1 << 20), (32, 7, 0)):
         monkeypatch.setattr(capjoin, "BLOCK", block)
+        monkeypatch.setattr(capjoin, "TILE", tile)
+        monkeypatch.setattr(capjoin, "WIDE", wide)
         rows = {r.vec_id: r for r in capjoin.near_vectors(df, Store(spark)).collect()}
         got = np.array([rows[k].n_links for k in range(len(v))])
         assert (got <= want[0]).all()  # no link below the threshold
