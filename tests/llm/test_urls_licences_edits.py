@@ -47,6 +47,39 @@ def test_urls(spark):
     assert urls.judge(pages.limit(0), urls.page_edges(pages.limit(0)), Store(spark)).count() == 0
 
 
+LINKS = [
+    ('<LINK HREF=https://T.org/es/1#x REL=canonical>', "https://t.org/es/1"), ("<link rel='nofollow Canonical' href='/es/2?a=1&amp;b=2'>", "http://site.com/es/2?a=1&b=2"),
+    ('<link href="//t.org/es/3"\n rel = "canonical" />', "http://t.org/es/3"), ('<meta content="0;URL=\'https://t.org/es/4\'" http-equiv="Refresh">', "https://t.org/es/4"),
+    ("<META HTTP-EQUIV=refresh CONTENT='5; url=../../x/./y'>", "http://site.com/x/y"), ('<link rel="canonical" href="sub/p?q">', "http://site.com/a/b/sub/p?q"), ('<link rel="canonical" href="?z=1">', "http://site.com/a/b/c?z=1"),
+    ('<link rel="canonical" href="..">', "http://site.com/a/"), ('<link rel="canonical" href="../../../../up">', "http://site.com/up"),
+    ('<link rel="canonicals" href="https://no.org/1">', None), ('<link rel="canonical" href="mailto:me@no.org">', None), ('<link rel="canonical" href="#top">', None), ('<link rel="canonical">', None),
+    ('<link rel="stylesheet" href="https://no.org/2"><meta name="x" content="url=https://no.org/3">', None), ("<p>rel=canonical href=https://no.org/4</p>", None), ('<link rel="canonical" href="HTTP://Site.COM/a/b/c?q#f">', None),
+]
+
+
+def test_links_in_all_spellings(spark):
+    rows = [(k, f"http://Site.com/a/b/c?q{'' if k == 15 else k}#top", f"<html>{tag}<body>") for k, (tag, _) in enumerate(LINKS)]
+    rows.append((50, "https://many.io", "".join(tag for tag, _ in LINKS[:6])))
+    pages = spark.createDataFrame([*rows, (51, None, LINKS[0][0]), (52, "no url", LINKS[0][0]), (53, "https://e.io/", None)], "page_id long, url string, html string")
+    got = {(r.a, r.b) for r in urls.page_edges(pages).collect()}
+    want = {(f"http://site.com/a/b/c?q{k}", b) for k, (_, b) in enumerate(LINKS) if b}
+    assert {e for e in got if e[0].startswith("http://site")} == want
+    assert {b for a, b in got if a == "https://many.io"} == {"https://t.org/es/1", "https://many.io/es/2?a=1&b=2", "https://t.org/es/3", "https://t.org/es/4", "https://many.io/x/y", "https://many.io/sub/p?q"}
+    judged = urls.judge(pages.select("page_id", "url"), urls.page_edges(pages), Store(spark))
+    assert {r.page_id for r in judged.where("verdict = 'block'").collect()} == {0, 2, 3, 50}
+    same(judged, by_duckdb(urls.ORACLE, pages=pages))
+
+
+def test_many_aliases_are_joined_by_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(urls, "SENT", 0)
+    rows = [(k, f"https://a.io/{k % 60}", f'<link rel=canonical href="https://a.io/{(k % 60) // 2}">' if k % 60 else '<link rel=canonical href="https://b.org/es/1">') for k in range(300)]
+    rows += [(1000 + k, "https://hot.io/x", None) for k in range(200)] + [(2000 + k, None, None) for k in range(40)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = urls.judge(pages.select("page_id", "url"), urls.page_edges(pages), Store(spark))
+    assert {r.page_id for r in got.where("verdict = 'block'").collect()} == set(range(300)) and got.count() == 540
+    same(got, by_duckdb(urls.ORACLE, pages=pages))
+
+
 def of(*numbers):
     return [licences.SENTENCES[i - 1] for i in numbers]
 
