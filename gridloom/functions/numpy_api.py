@@ -5,8 +5,8 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Window, functions as F
 
-from gridloom.functions.dtypes import dtype_of, result_dtype, spark_type
-from gridloom.operators.frame import BLOCK, ArrayFrame, _guard
+from gridloom.functions.dtypes import dtype_of, result_dtype, spark_type, wrapped
+from gridloom.operators.frame import BLOCK, BROADCAST_ROWS, ArrayFrame, _guard
 from gridloom.operators.reduce import reduced_axes
 
 _REDUCTIONS = {getattr(np, n): n for n in ("sum", "prod", "mean", "max", "min", "amax", "amin", "nanmax", "nanmin", "nansum", "nanmean", "var", "std", "all", "any", "argmax", "argmin", "count_nonzero", "median", "nanmedian", "ptp")}
@@ -19,11 +19,17 @@ _BINARY = {
     np.add: lambda a, b: a + b, np.subtract: lambda a, b: a - b, np.multiply: lambda a, b: a * b, np.true_divide: lambda a, b: F.try_divide(a, b),
     np.maximum: F.greatest, np.minimum: F.least, np.power: F.pow,
 }
+#: For booleans; Spark's logic has no surprises without nulls.
+_LOGIC = {np.bitwise_and: lambda a, b: a & b, np.logical_and: lambda a, b: a & b, np.bitwise_or: lambda a, b: a | b, np.logical_or: lambda a, b: a | b, np.bitwise_xor: lambda a, b: a != b, np.logical_xor: lambda a, b: a != b}
+#: For integers, exactly before they wrap around.
+_WHOLE = {
+    np.add: lambda a, b: a + b, np.subtract: lambda a, b: a - b, np.multiply: lambda a, b: a * b, np.maximum: F.greatest, np.minimum: F.least,
+    np.negative: lambda v: -v, np.absolute: F.abs, np.square: lambda v: v * v,
+}
 _COMPARISONS = {
     np.greater: lambda a, b: a > b, np.greater_equal: lambda a, b: a >= b, np.less: lambda a, b: a < b, np.less_equal: lambda a, b: a <= b,
     np.equal: lambda a, b: a == b, np.not_equal: lambda a, b: a != b,
 }
-_KEEPS_TYPE = (np.absolute, np.negative, np.square, np.floor, np.ceil, np.rint, np.sign)
 
 
 def _log(function):
@@ -36,50 +42,91 @@ def _whole(function):
     return lambda v: F.when(F.isnan(v) | (F.abs(v) >= 2.0**52), v.cast("double")).otherwise(function(v).cast("double"))
 
 
+def _log1p(v):
+    return F.when(v == -1, F.lit(float("-inf"))).when(v < -1, F.lit(float("nan"))).otherwise(F.log1p(v))
+
+
+def _with_nan(form):
+    """NaN on either side gives NaN; Spark's least would pass it over."""
+    return lambda a, b: F.when(F.isnan(a.cast("double")) | F.isnan(b.cast("double")), F.lit(float("nan"))).otherwise(form(a, b))
+
+
+def _integers(form, dtype: np.dtype):
+    """``form`` of integers cast to ``dtype`` modulo its size."""
+    if dtype.itemsize == 8:
+        return lambda *values: wrapped(form(*(v.cast("decimal(20,0)") for v in values)).cast("decimal(38,0)"), False)
+    low, span = int(np.iinfo(dtype).min), 1 << 8 * dtype.itemsize
+    return lambda *values: F.pmod(form(*(v.cast("long") for v in values)) - low, F.lit(span)) + low
+
+
+_UNARY[np.log1p] = _log1p
 for _name in (np.floor, np.ceil):
     _UNARY[_name] = _whole(_UNARY[_name])
+for _name in (np.maximum, np.minimum):
+    _BINARY[_name] = _with_nan(_BINARY[_name])
 for _name in (np.log, np.log2, np.log10):
     _UNARY[_name] = _log(_UNARY[_name])
 
 
 def ufunc_call(ufunc, method, inputs, kwargs):
+    """The ufunc cell by cell where it has a form for the types, with NumPy's broadcasting; else on collected arrays."""
     if method == "__call__" and not kwargs:
-        frames = [x for x in inputs if isinstance(x, ArrayFrame)]
-        if all(f.dtype.kind in "biuf" and f.dtype.name not in ("uint64", "float16") for f in frames):
-            if ufunc in _UNARY:
-                a = inputs[0]
-                dtype = a.dtype if ufunc in _KEEPS_TYPE else ufunc(np.ones(1, a.dtype)).dtype
-                if a.dtype.kind == "f" or ufunc not in _KEEPS_TYPE:
-                    return a.map(lambda v: _UNARY[ufunc](v), dtype)
-            if ufunc in _BINARY or ufunc in _COMPARISONS:
-                compares = ufunc in _COMPARISONS
-                form = _COMPARISONS[ufunc] if compares else _BINARY[ufunc]
-                a, b = inputs
-                scalar = next((x for x in inputs if not isinstance(x, ArrayFrame)), None)
-                if scalar is None or np.ndim(scalar) == 0 and not isinstance(scalar, np.ndarray):
-                    dtype = ufunc(*(np.ones(1, x.dtype) if isinstance(x, ArrayFrame) else x for x in inputs)).dtype
-                    if compares or dtype.kind == "f":
-                        fix = (lambda x, y: form(x, y)) if not compares else _honest(form, ufunc, frames)
-                        if ufunc is np.true_divide:
-                            fix = _divide
-                        if len(frames) == 2:
-                            return a.combine(b, fix, dtype)
-                        return a.map(lambda v: fix(v, F.lit(b)), dtype) if isinstance(a, ArrayFrame) else b.map(lambda v: fix(F.lit(a), v), dtype)
-        if ufunc is np.add and len(frames) == 2 and frames[0].dtype == frames[1].dtype and frames[0].dtype.name in ("int8", "int16", "int32"):
-            wide = 8 * frames[0].dtype.itemsize
-            return frames[0].combine(frames[1], lambda x, y: F.pmod(x.cast("long") + y.cast("long") + (1 << wide - 1), F.lit(1 << wide)) - (1 << wide - 1), frames[0].dtype)
+        frame = next(x for x in inputs if isinstance(x, ArrayFrame))
+        spark = frame.df.sparkSession
+        # small arrays beside a frame join it
+        own = [ArrayFrame.of_numpy(spark, x) if isinstance(x, np.ndarray) and 0 < x.ndim and x.size <= BROADCAST_ROWS and x.dtype.kind in "biuf" else x for x in inputs]
+        frames = [x for x in own if isinstance(x, ArrayFrame)]
+        plain = all(isinstance(x, ArrayFrame) or np.ndim(x) == 0 and not isinstance(x, np.ndarray) for x in own)
+        if plain and all(f.dtype.kind in "biuf" and f.dtype.name not in ("uint64", "float16") for f in frames):
+            form, dtype = _form(ufunc, own, frames)
+            if form is not None:
+                if len(own) == 1:
+                    return own[0].map(form, dtype)
+                a, b = own
+                if len(frames) == 2:
+                    return a.combine(b, form, dtype)
+                # a number of Python's own takes the type of floats beside it
+                lit = lambda x: F.lit(x.item() if isinstance(x, np.generic) else x).cast(spark_type(frame.dtype) if frame.dtype.kind == "f" and type(x) in (int, float) else spark_type(dtype_of(np.asarray(x).dtype)))
+                return a.map(lambda v: form(v, lit(b)), dtype) if isinstance(a, ArrayFrame) else b.map(lambda v: form(lit(a), v), dtype)
     return getattr(ufunc, method)(*map(collected, inputs), **kwargs)
 
 
+def _form(ufunc, own, frames):
+    """The ufunc as a column expression and the type of its result, or None."""
+    kinds = {f.dtype.kind for f in frames}
+    if ufunc is np.logical_not and kinds == {"b"} or ufunc is np.invert and kinds == {"b"}:
+        return (lambda v: ~v), np.dtype(bool)
+    if ufunc in _LOGIC and kinds == {"b"} and all(isinstance(x, (ArrayFrame, bool, np.bool_)) for x in own):
+        return _LOGIC[ufunc], np.dtype(bool)
+    if ufunc in _COMPARISONS:
+        dtype = ufunc(*(np.ones(1, x.dtype) if isinstance(x, ArrayFrame) else x for x in own)).dtype
+        return (_honest(_COMPARISONS[ufunc], ufunc, frames, own), dtype) if "b" not in kinds or kinds == {"b"} and len(frames) == 2 else (None, None)
+    if ufunc not in _UNARY and ufunc not in _BINARY or len(own) != (1 if ufunc in _UNARY else 2):
+        return None, None
+    dtype = ufunc(*(np.ones(1, x.dtype) if isinstance(x, ArrayFrame) else x for x in own)).dtype if kinds != {"b"} or ufunc not in (np.negative, np.subtract) else None
+    if dtype is None or dtype.name in ("uint64", "float16"):
+        return None, None
+    if dtype.kind in "iu":
+        return (_integers(_WHOLE[ufunc], dtype), dtype) if ufunc in _WHOLE and "b" not in kinds else (None, None)
+    if dtype.kind != "f":
+        return None, None
+    if ufunc is np.true_divide:
+        return _divide, dtype
+    form = _UNARY.get(ufunc) or _BINARY[ufunc]
+    number = lambda v: v.cast("int") if "b" in kinds else v
+    return (lambda *values: form(*map(number, values))), dtype
+
+
 def _divide(a, b):
     a, b = a.cast("double"), b.cast("double")
-    zero = F.when((a == 0) | F.isnan(a), F.lit(float("nan"))).when(a > 0, F.lit(float("inf"))).otherwise(F.lit(float("-inf")))
+    below = b.cast("string").startswith("-")  # tells -0.0 from 0.0
+    zero = F.when((a == 0) | F.isnan(a), F.lit(float("nan"))).when((a > 0) != below, F.lit(float("inf"))).otherwise(F.lit(float("-inf")))
     return F.when(b == 0, zero).otherwise(a / F.when(b != 0, b))
 
 
-def _honest(form, ufunc, frames):
+def _honest(form, ufunc, frames, own):
     """Comparisons with NaN are false, but for not_equal."""
-    if not any(f.dtype.kind == "f" for f in frames):
+    if not any(f.dtype.kind == "f" for f in frames) and not any(isinstance(x, float) for x in own):
         return form
 
     def test(a, b):

@@ -32,13 +32,15 @@ def set_policy(mode: str = "warn", threshold: int = 64 << 20) -> None:
     POLICY.update(mode=mode, threshold=threshold)
 
 
-class ArrayFrame:
+class ArrayFrame(np.lib.mixins.NDArrayOperatorsMixin):
     """``df`` (or a function that gives it) has long columns i0 ... and v; each cell of ``shape`` has one row, in no order.
 
     Selecting and reducing give further frames and start no job. ``to_numpy`` is
-    the only way to the driver.
+    the only way to the driver. Operators are NumPy's ufuncs, cell by cell.
     """
 
+    __hash__ = object.__hash__
+
     def __init__(self, df, shape: tuple[int, ...], dtype, attrs: dict | None = None, lists: DataFrame | None = None, quality: dict | None = None):
         self._df, self.shape, self.dtype = df, tuple(int(n) for n in shape), dtype_of(dtype)
         self.attrs, self._lists, self.applied_quality = attrs or {}, lists, quality or {"codec": "exact"}
@@ -182,6 +184,11 @@ class ArrayFrame:
             raise ValueError("ddof must be whole")
         if self.size == 0 and function in ("mean", "nanmean", "var", "std"):
             warnings.warn("Mean of empty slice", RuntimeWarning, stacklevel=2)
+        name = reductions.ALIASES.get(function, function)
+        if where is not None and initial is None and name in ("max", "min", "nanmax", "nanmin"):
+            raise ValueError(f"reduction operation {name!r} does not have an identity, so to use a where mask one has to specify 'initial'")
+        if self.size and name in ("var", "std") and where is None and int(np.prod([self.shape[a] for a in reductions.reduced_axes(axis, self.ndim)], dtype=object)) <= ddof:
+            warnings.warn("Degrees of freedom <= 0 for slice", RuntimeWarning, stacklevel=2)
         if dtype is not None:
             return self.astype(dtype).reduce(function, axis, keepdims, ddof, None, where, initial)
         if where is None and initial is None and self._lists is not None and axis in (1, -1) and not keepdims and (quick := self._along_lists(function)) is not None:
@@ -193,10 +200,13 @@ class ArrayFrame:
         out, shape, kind = reductions.reduce(df, self.shape, self.dtype, function, axis, keepdims, ddof)
         found = ArrayFrame(out, shape, kind)
         if where is not None and shape:
-            empty = {"sum": 0, "nansum": 0, "prod": 1, "all": True, "any": False, "count_nonzero": 0}.get(function, float("nan"))
+            empty = {"sum": 0, "nansum": 0, "prod": 1, "all": True, "any": False, "count_nonzero": 0}.get(function, float("nan") if initial is None else initial)
             found = ArrayFrame.sparse(out, [f"i{k}" for k in range(len(shape))], "v", shape, kind, empty)
         if initial is not None:
-            join = {"sum": lambda v: v + initial, "prod": lambda v: v * initial, "max": lambda v: F.greatest(v, F.lit(initial)), "min": lambda v: F.least(v, F.lit(initial))}[reductions.ALIASES.get(function, function)]
+            nan = lambda v: F.isnan(v.cast("double")) if found.dtype.kind == "f" else F.lit(False)
+            first = F.lit(initial)
+            extreme = lambda pick: lambda v: F.when(nan(v) | F.isnan(first.cast("double")), F.lit(float("nan"))).otherwise(pick(v, first)) if found.dtype.kind == "f" else pick(v, first)
+            join = {"sum": lambda v: v + initial, "prod": lambda v: v * initial, "max": extreme(F.greatest), "min": extreme(F.least)}[name]
             found = found.map(join, kind)
         return found
 
@@ -218,15 +228,22 @@ class ArrayFrame:
         return self.map(lambda v: v, dtype)
 
     def combine(self, other: ArrayFrame, function, dtype=None) -> ArrayFrame:
-        """``function`` of both values cell by cell, for arrays of one shape."""
-        if self.shape != other.shape:
-            raise ValueError(f"shapes {self.shape} and {other.shape} differ")
-        names = [f"i{k}" for k in range(self.ndim)]
+        """``function`` of both values cell by cell; axes of length 1 and those that one side lacks meet every place of the other's, as in NumPy."""
+        shape = np.broadcast_shapes(self.shape, other.shape)
         dtype = dtype_of(dtype or np.result_type(self.dtype, other.dtype))
         if self is other:
             return self.map(lambda v: function(v, v), dtype)
-        both = self.df.join(other.df.withColumnRenamed("v", "w"), names) if names else self.df.crossJoin(other.df.withColumnRenamed("v", "w"))  # two scalars
-        return ArrayFrame(both.select(*names, function(F.col("v"), F.col("w")).cast(spark_type(dtype)).alias("v")), self.shape, dtype)
+        ndim = len(shape)
+        ours, theirs = ((None,) * (ndim - x.ndim) + x.shape for x in (self, other))
+        left = self.df.select(*(F.col(f"i{k}").alias(f"i{k + ndim - self.ndim}") for k in range(self.ndim)), "v")
+        right = other.df.select(*(F.col(f"i{k}").alias(f"j{k + ndim - other.ndim}") for k in range(other.ndim)), F.col("v").alias("w"))
+        shared = [k for k in range(ndim) if ours[k] == theirs[k] and shape[k] != 1]
+        if shared:
+            both = left.join(right, fold(Column.__and__, (left[f"i{k}"] == right[f"j{k}"] for k in shared)))
+        else:
+            both = left.crossJoin(right)  # an outer product, whose every pair is a cell, or a single value
+        place = [F.col(f"i{k}") if ours[k] == n and ours[k] is not None else F.col(f"j{k}") for k, n in enumerate(shape)]
+        return ArrayFrame(both.select(*(p.alias(f"o{k}") for k, p in enumerate(place)), function(F.col("v"), F.col("w")).cast(spark_type(dtype)).alias("v")).toDF(*(f"i{k}" for k in range(ndim)), "v"), shape, dtype)
 
     def reshape(self, *shape: int) -> ArrayFrame:
         if int(np.prod(shape, dtype=object)) != self.size:

@@ -113,10 +113,11 @@ _frame("sel_negstep", lambda s, d: events(s, d)[499:100:-3], f"SELECT (499 - i0)
 _frame("sel_reverse", lambda s, d: events(s, d)[::-1], f"SELECT {_NE} - 1 - i0 AS i0, v FROM {_EV}")
 _frame("sel_empty", lambda s, d: matrix(s, d)[100:100], f"SELECT i0, i1, v FROM {_E} WHERE false")
 _frame("sel_fancy", lambda s, d: matrix(s, d)[[3, 3, 0, -1]], f"SELECT k AS i0, i1, v FROM {_E} JOIN (SELECT unnest([0, 1, 2, 3])::BIGINT AS k, unnest([3, 3, 0, {_N} - 1])::BIGINT AS i0) USING (i0)")
-_frame("sel_fancy_pair", lambda s, d: matrix(s, d)[[0, 2, 2], [1, 3, 3]], f"SELECT k AS i0, v FROM {_E} JOIN (VALUES (0::BIGINT, 0, 1), (1, 2, 3), (2, 2, 3)) p(k, i0, i1) USING (i0, i1)")
-_frame("sel_fancy_int", lambda s, d: cube(s, d)[1, :, [0, 3]], f"SELECT k AS i0, i1, v FROM {_C} JOIN (VALUES (0::BIGINT, 0), (1, 3)) p(k, i2) USING (i2) WHERE i0 = 1")
-_frame("sel_fancy_sep", lambda s, d: cube(s, d)[[0, 2], :, [4, 1]], f"SELECT k AS i0, i1, v FROM {_C} JOIN (VALUES (0::BIGINT, 0, 4), (1, 2, 1)) p(k, i0, i2) USING (i0, i2)")
+_frame("sel_fancy_pair", lambda s, d: matrix(s, d)[[7, 40, 40], [60, 5, 5]], f"SELECT k AS i0, v FROM {_E} JOIN (VALUES (0::BIGINT, 7, 60), (1, 40, 5), (2, 40, 5)) p(k, i0, i1) USING (i0, i1)")
+_frame("sel_fancy_int", lambda s, d: cube(s, d)[33, :, [6, 2, 5]], f"SELECT k AS i0, i1, v FROM {_C} JOIN (VALUES (0::BIGINT, 6), (1, 2), (2, 5)) p(k, i2) USING (i2) WHERE i0 = 33")
+_frame("sel_fancy_sep", lambda s, d: cube(s, d)[[19, 8], :, [7, 3]], f"SELECT k AS i0, i1, v FROM {_C} JOIN (VALUES (0::BIGINT, 19, 7), (1, 8, 3)) p(k, i0, i2) USING (i0, i2)")
 _frame("sel_fancy_slice", lambda s, d: matrix(s, d)[2:80, [1, 3, 5]], f"SELECT i0 - 2 AS i0, k AS i1, v FROM {_E} JOIN (VALUES (0::BIGINT, 1), (1, 3), (2, 5)) p(k, i1) USING (i1) WHERE i0 BETWEEN 2 AND 79")
+_frame("sel_operator_mask", lambda s, d: (lambda a: a[(a[:, 0] > 0.1) & ~(a[:, 1] > 0.1)])(matrix(s, d)), f"SELECT dense_rank() OVER (ORDER BY i0) - 1 AS i0, i1, v FROM {_E} WHERE i0 IN (SELECT vec_id FROM embeddings WHERE embedding[1] > 0.1::FLOAT AND NOT embedding[2] > 0.1::FLOAT)")
 _frame("sel_ellipsis", lambda s, d: cube(s, d)[..., 0], f"SELECT i0, i1, v FROM {_C} WHERE i2 = 0")
 _frame("sel_newaxis", lambda s, d: matrix(s, d)[:10, None, 5], f"SELECT i0, 0::BIGINT AS i1, v FROM {_E} WHERE i0 < 10 AND i1 = 5")
 _frame("sel_mask", lambda s, d: matrix(s, d)[:, np.arange(64) % 9 == 2], f"SELECT i0, i1 // 9 AS i1, v FROM {_E} WHERE i1 % 9 = 2")
@@ -212,6 +213,9 @@ _add("red_complex_argmin", _complex("argmin"), f"SELECT i0::DOUBLE AS v FROM {_Z
 _frame("fn_sqrt", lambda s, d: np.sqrt(events(s, d)), f"SELECT i0, round(sqrt(v), 8) AS v FROM {_EV}", 8)
 _frame("fn_ufuncs", lambda s, d: np.add(np.absolute(np.negative(events(s, d))), np.log1p(events(s, d))), f"SELECT i0, round(abs(-v) + ln(1 + v), 6) AS v FROM {_EV}", 6)
 _frame("fn_arith", lambda s, d: (lambda a: np.multiply(a[:, 0], a[:, 1]))(matrix(s, d)), f"SELECT vec_id AS i0, round((embedding[1] * embedding[2])::DOUBLE, 5) AS v FROM embeddings", 5)
+_frame("fn_minimum", lambda s, d: np.minimum(holey(s, d), 50), f"SELECT i0, CASE WHEN isnan(v) THEN v ELSE least(v, 50) END AS v FROM {_H}")
+_frame("fn_broadcast", lambda s, d: (lambda a: a - a[3] * 2)(matrix(s, d)), f"SELECT a.i0, a.i1, round((a.v - b.v * 2::FLOAT)::DOUBLE, 5) AS v FROM {_E} a JOIN (SELECT i1, v FROM {_E} WHERE i0 = 3) b ON a.i1 = b.i1", 5)
+_frame("fn_integers", lambda s, d: (lambda a: -a * a + 7)(sizes(s, d)), f"SELECT i0, (-v * v + 7)::INTEGER AS v FROM {_PS}")
 _frame("fn_compare", lambda s, d: np.greater(holey(s, d), 50), f"SELECT i0, v > 50 AND NOT isnan(v) AS v FROM {_H}")
 _frame("fn_median", lambda s, d: np.median(matrix(s, d), axis=0), f"SELECT i1 AS i0, round(quantile_cont(v::DOUBLE, 0.5), 5) AS v FROM {_E} GROUP BY i1", 5)
 _frame("fn_nanmedian", lambda s, d: np.nanmedian(holey(s, d)), f"SELECT round(quantile_cont(v, 0.5), 6) AS v FROM {_H} WHERE NOT isnan(v)", 6)
