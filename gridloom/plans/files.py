@@ -21,11 +21,11 @@ from gridloom.sources.writers import Hdf5Writer, zarr_array, zarr_group
 _made: dict[str, str] = {}
 
 
-def _folder(sf_dir: str) -> str:
-    if sf_dir not in _made:
-        _made[sf_dir] = tempfile.mkdtemp(prefix="gridloom-arrays-")
-        atexit.register(shutil.rmtree, _made[sf_dir], True)
-    return _made[sf_dir]
+def _folder(spark: SparkSession, sf_dir: str) -> str:
+    """A folder for the files of the first rows."""
+    path = os.path.join(_shared_folder(spark, sf_dir), "part")
+    os.makedirs(path, exist_ok=True)
+    return path
 
 
 def _part(spark: SparkSession, sf_dir: str) -> np.ndarray:
@@ -35,7 +35,7 @@ def _part(spark: SparkSession, sf_dir: str) -> np.ndarray:
 
 def _file(name: str, write: Callable[[str, np.ndarray], None]) -> Callable[[SparkSession, str], ArrayFile]:
     def opened(spark: SparkSession, sf_dir: str) -> ArrayFile:
-        path = os.path.join(_folder(sf_dir), name)
+        path = os.path.join(_folder(spark, sf_dir), name)
         if not os.path.exists(path):
             write(path, _part(spark, sf_dir))
         return open_array(spark, path)
@@ -62,6 +62,8 @@ npy_file, zarr_file, hdf5_file = _file("e.npy", np.save), _file("t.zarr", _tree)
 def _shared_folder(spark: SparkSession, sf_dir: str) -> str:
     """A folder for the files of whole tables: under ``spark.checkpoint.dir``, which all executors share, where it is set."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     key = f"{root or ''}|{sf_dir}"
     if key not in _made:
         root = root and root.removeprefix("file://")
@@ -216,7 +218,7 @@ def _paths(spark: SparkSession, sf_dir: str) -> list[tuple]:
     out = []
     for path in ("e.npy", "../e.npy", "/etc/passwd", "none.npy"):
         try:
-            allowed(path, [_folder(sf_dir)])
+            allowed(path, [_folder(spark, sf_dir)])
             out.append((path, "allowed"))
         except NotAllowed:
             out.append((path, "refused"))
