@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import threading
+import time
 import warnings
 from concurrent.futures import Future, ThreadPoolExecutor
 from functools import reduce as fold
@@ -21,6 +23,23 @@ BROADCAST_ROWS = 1 << 18
 BLOCK = 1 << 16
 
 
+#: What arrays delivered to the driver so far: reads, bytes and seconds.
+_DELIVERED = {"reads": 0, "bytes": 0, "seconds": 0.0}
+_LOCK = threading.Lock()
+
+
+def stats() -> dict[str, float]:
+    """Reads that were delivered to the driver, their bytes, the seconds they took together, and bytes a second."""
+    with _LOCK:
+        found = dict(_DELIVERED)
+    return found | {"throughput": found["bytes"] / found["seconds"] if found["seconds"] else 0.0}
+
+
+def reset_stats() -> None:
+    with _LOCK:
+        _DELIVERED.update(reads=0, bytes=0, seconds=0.0)
+
+
 class FallbackWarning(UserWarning):
     """An array was collected to the driver."""
 
@@ -44,6 +63,7 @@ class ArrayFrame(np.lib.mixins.NDArrayOperatorsMixin):
     def __init__(self, df, shape: tuple[int, ...], dtype, attrs: dict | None = None, lists: DataFrame | None = None, quality: dict | None = None):
         self._df, self.shape, self.dtype = df, tuple(int(n) for n in shape), dtype_of(dtype)
         self.attrs, self._lists, self.applied_quality = attrs or {}, lists, quality or {"codec": "exact"}
+        self._of_nothing: str | None = None  # what NaN in this result says, once it is delivered
 
     # construction
 
@@ -202,6 +222,8 @@ class ArrayFrame(np.lib.mixins.NDArrayOperatorsMixin):
         if where is not None and shape:
             empty = {"sum": 0, "nansum": 0, "prod": 1, "all": True, "any": False, "count_nonzero": 0}.get(function, float("nan") if initial is None else initial)
             found = ArrayFrame.sparse(out, [f"i{k}" for k in range(len(shape))], "v", shape, kind, empty)
+        if self.dtype.kind in "fc" and initial is None:
+            found._of_nothing = {"nanmax": "All-NaN slice encountered", "nanmin": "All-NaN slice encountered", "nanmedian": "All-NaN slice encountered", "nanmean": "Mean of empty slice"}.get(name)
         if initial is not None:
             nan = lambda v: F.isnan(v.cast("double")) if found.dtype.kind == "f" else F.lit(False)
             first = F.lit(initial)
@@ -279,10 +301,16 @@ class ArrayFrame(np.lib.mixins.NDArrayOperatorsMixin):
 
     def to_numpy(self) -> np.ndarray:
         """The array, read-only and in C order."""
+        start = time.perf_counter()
         out = np.zeros(self.size, self.dtype)
         rows = self.df.select(_flat(self.shape).alias("at"), "v").toPandas()
         out[rows["at"].to_numpy(np.int64)] = from_spark(rows["v"], self.dtype)
         out = out.reshape(self.shape)
+        with _LOCK:
+            for name, value in (("reads", 1), ("bytes", out.nbytes), ("seconds", time.perf_counter() - start)):
+                _DELIVERED[name] += value
+        if self._of_nothing and np.isnan(out).any():
+            warnings.warn(self._of_nothing, RuntimeWarning, stacklevel=2)
         out.flags.writeable = False
         return out
 
@@ -299,6 +327,12 @@ class ArrayFrame(np.lib.mixins.NDArrayOperatorsMixin):
         out[...] = part.to_numpy()
         return out
 
+    def read_as(self, dtype, key=()) -> np.ndarray:
+        """The selection as an array, if its type is ``dtype``; TypeError before any job otherwise."""
+        if dtype_of(dtype) != self.dtype:
+            raise TypeError(f"the array is of {self.dtype.name}, not of {np.dtype(dtype).name}")
+        return self[key].to_numpy()
+
     def get_async(self, key) -> Future:
         """The selection as an array, by a job of its own thread."""
         return _POOL.submit(lambda part: part.to_numpy(), self[key])

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridloom.operators.frame import ArrayFrame, FallbackWarning, set_policy
+from gridloom.operators.frame import ArrayFrame, FallbackWarning, set_policy, stats
 from gridloom.plans.catalog import _E, _EV, ORACLES, QUERIES, _add, _frame, events, matrix
 from gridloom.sources.files import ArrayFile, NotAllowed, allowed, format_of, open_array
 from gridloom.sources.writers import Hdf5Writer, zarr_array, zarr_group
@@ -200,6 +200,22 @@ _add("array_props", _rows("ndim int, size long, nbytes long, length int, shape s
      "SELECT 2 AS ndim, 5760::BIGINT AS size, 11520::BIGINT AS nbytes, 90 AS length, '90,64' AS shape, 'int16' AS dtype")
 
 
+def _typed(spark: SparkSession, sf_dir: str) -> list[tuple]:
+    """Reads that name the type that they expect, and what was delivered."""
+    a, out = matrix(spark, sf_dir), []
+    before = stats()
+    for dtype in ("float32", "float64", "int32"):
+        try:
+            out.append((dtype, ",".join(map(str, a.read_as(dtype, slice(3, 13)).shape))))
+        except TypeError:
+            out.append((dtype, "TypeError"))
+    after = stats()
+    return [*out, ("reads", str(after["reads"] - before["reads"])), ("bytes", str(after["bytes"] - before["bytes"]))]
+
+
+_add("typed_stats", _rows("what string, answer string", _typed), _values("what, answer", "('float32', '10,64')", "('float64', 'TypeError')", "('int32', 'TypeError')", "('reads', '1')", "('bytes', '2560')"))
+
+
 def _formats(spark: SparkSession, sf_dir: str) -> list[tuple]:
     out = []
     for path, named in (("a.npy", None), ("a.nc", None), ("a.H5", None), ("a.zarr/", None), ("a.npy", "zarr"), ("a.txt", None), ("a", None)):

@@ -1,9 +1,10 @@
 import itertools
+import warnings
 
 import numpy as np
 import pytest
 
-from gridloom.operators.frame import ArrayFrame
+from gridloom.operators.frame import ArrayFrame, reset_stats, stats
 
 F = np.array([[0.5, -1.0, np.nan], [2.25, np.inf, -0.0], [-3.5, 1e-3, 7.0], [0.1, -np.inf, 4.0]])
 I = np.array([[100, -128, 5], [127, 0, -1], [3, 64, -77], [1, 2, 90]])
@@ -110,3 +111,22 @@ def test_degrees_of_freedom_are_warned_of(frames):
         np.testing.assert_array_equal(np.asarray(frames["int32"].reduce("var", 0, ddof=4)), np.var(I, 0, ddof=4))
     with pytest.warns(RuntimeWarning, match="Degrees of freedom"):
         np.std(frames["float64"], axis=1, ddof=5)
+
+
+def test_slices_of_nothing_but_nan_are_warned_of(spark):
+    f = ArrayFrame.of_numpy(spark, np.array([[1.0, np.nan], [np.nan, np.nan]]))
+    for name, words in (("nanmax", "All-NaN"), ("nanmin", "All-NaN"), ("nanmedian", "All-NaN"), ("nanmean", "Mean of empty")):
+        with pytest.warns(RuntimeWarning, match=words):
+            assert np.isnan(f.reduce(name, 1).to_numpy()).tolist() == [False, True]
+        with warnings.catch_warnings():
+            warnings.simplefilter("error")
+            f.reduce(name).to_numpy()
+
+
+def test_typed_reads_and_stats(frames):
+    reset_stats()
+    assert frames["int8"].read_as("int8", 1).tolist() == I[1].tolist()
+    with pytest.raises(TypeError):
+        frames["int8"].read_as("int32")
+    found = stats()
+    assert (found["reads"], found["bytes"]) == (1, 3) and found["seconds"] > 0 and found["throughput"] > 0
