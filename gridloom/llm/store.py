@@ -101,7 +101,7 @@ def join_by_size(rows: DataFrame, table: DataFrame, keys: list[str], size: str,
     limit = max(1, total // 1000)
     known = F.struct(*(c for c in table.columns if c not in keys))
     hot = table.where(F.col(size) > limit).select(*keys, known.alias("_hot"))
-    cold = table.where(F.col(size) <= limit).select(*keys, F.lit(0).cast("long").alias("_part"), known.alias("_cold"))
+    cold = table.where(F.col(size) <= limit).select(*keys, F.least(F.col(size).cast("long"), F.lit(0)).alias("_part"), known.alias("_cold"))  # 0; a literal would be folded out of the join's keys
     parted = rows.join(F.broadcast(hot), keys, "left").withColumn("_part", F.when(F.col("_hot").isNull(), F.lit(0).cast("long")).otherwise(1 + F.pmod(F.xxhash64(*rows.columns), F.lit(1 << 30))))
     joined = parted.join(cold, [*keys, "_part"], "left").withColumn("_known", F.coalesce("_hot", "_cold")).where(F.col("_known").isNotNull())
     return joined.select(*rows.columns, "_known.*")
