@@ -151,8 +151,13 @@ class Index:
 
     def _search(self, own: _Grams, symbols: np.ndarray, at: np.ndarray, best: dict) -> None:
         n = len(self.ids)
-        counts = []
-        for doc, _, item, _ in own.hits(symbols, at):
+        counts, parts = [], []  # all hits are kept for the second look if they are few
+        for part in own.hits(symbols, at):
+            if parts is not None and sum(len(p[0]) for p in parts) + len(part[0]) <= HITS:
+                parts.append(part)
+            else:
+                parts = None
+            doc, _, item, _ = part
             counts.append(np.unique(doc * n + item, return_counts=True))
             if len(counts) > 16:
                 counts = [_sums(counts)]
@@ -163,7 +168,7 @@ class Index:
         if not len(pairs):
             return
         shared = []  # distinct q-grams of the item in each band
-        for doc, place, item, there in own.hits(symbols, at):
+        for doc, place, item, there in own.hits(symbols, at) if parts is None else parts:
             pair = doc * n + item
             often = pairs[np.minimum(np.searchsorted(pairs, pair), len(pairs) - 1)] == pair
             doc, place, item, there, pair = doc[often], place[often], item[often], there[often], pair[often]
