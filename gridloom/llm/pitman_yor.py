@@ -35,9 +35,9 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from .store import Store, documents, grouped, release
+from .store import Store, grouped, release
 from .text import LOWER, NOT_SPACE, chunks, hash_ranges, mix, ranges, words
 
 #: Bytes of a spelling context, and classes of a byte in it: a context is one of CLASSES ** DEPTH.
@@ -537,7 +537,7 @@ def _sums(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nd
     return keys, np.bincount(which, np.concatenate([n for _, n in parts]), len(keys))
 
 
-def _sum_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sum_keys(batches: Iterator[pa.RecordBatch], most: int = int(_SUMMED[-1])) -> Iterator[pa.RecordBatch]:
     """Sums of each part; the stream is sorted by part."""
     last, total = None, np.zeros(0, np.int64)
 
@@ -549,7 +549,7 @@ def _sum_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if row["part"] != last:
             if last is not None:
                 yield ready()
-            last, total = row["part"], np.zeros(int(_SUMMED[-1]) // _PARTS + 1, np.int64)
+            last, total = row["part"], np.zeros(most // _PARTS + 1, np.int64)
         total[np.frombuffer(row["keys"], np.int64) // _PARTS] += np.frombuffer(row["counts"], np.int64)
     if last is not None:
         yield ready()
@@ -559,15 +559,15 @@ def _zstd() -> pa.Codec:
     return pa.Codec("zstd", compression_level=3)
 
 
-def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums to the spelling model, compressed (part 0), and the other sums (part 1)."""
+def _train(batches: Iterator[pa.RecordBatch], most: int = int(_SUMMED[-1])) -> Iterator[pa.RecordBatch]:
+    """Sums to the spelling model, compressed (part 0), and the other sums (part 1); keys are less than ``most``."""
     rows = [(row["keys"], row["counts"]) for row in _rows(batches)]
     if rows:
         keys, counts = (np.frombuffer(b"".join(r[k] for r in rows), np.int64) for k in (0, 1))
         order = np.argsort(keys)
         keys, counts = keys[order], counts[order]
         n = np.searchsorted(keys, SPELLED)
-        others = np.zeros(int(_SUMMED[-1]) - SPELLED, np.int64)
+        others = np.zeros(most - SPELLED, np.int64)
         others[keys[n:] - SPELLED] = counts[n:]
         yield _packed([(1, others.tobytes())], "part long, table binary")
         if n:
@@ -575,13 +575,14 @@ def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
 
 
-def _fit_spelling(state: DataFrame) -> tuple[bytes, list[np.ndarray]]:
+def _fit_spelling(state: DataFrame, summed_to: np.ndarray = _SUMMED) -> tuple[bytes, list[np.ndarray]]:
     """The spelling model of all tables, compressed, and the other sums; one task, whose memory is fixed by the number of contexts."""
-    summed = grouped(state.where(F.col("part").isNotNull()).select("part", "keys", "counts"), ["part"], _sum_keys, _KEYS, _PARTS)
-    rows = {r.part: bytes(r.table) for r in summed.coalesce(1).mapInArrow(_train, "part long, table binary").collect()}
-    others = np.frombuffer(rows[1], np.int64) if rows else np.zeros(int(_SUMMED[-1]) - SPELLED, np.int64)
+    most = int(summed_to[-1])
+    summed = grouped(state.where(F.col("part").isNotNull()).select("part", "keys", "counts"), ["part"], lambda b: _sum_keys(b, most), _KEYS, _PARTS)
+    rows = {r.part: bytes(r.table) for r in summed.coalesce(1).mapInArrow(lambda b: _train(b, most), "part long, table binary").collect()}
+    others = np.frombuffer(rows[1], np.int64) if rows else np.zeros(most - SPELLED, np.int64)
     table = rows[0] if 0 in rows else _zstd().compress(np.full(SPELLED, 1 / SYMBOLS, np.float32), asbytes=True)
-    return table, np.split(others, _SUMMED[1:-1] - SPELLED)
+    return table, np.split(others, summed_to[1:-1] - SPELLED)
 
 
 @dataclass
@@ -760,8 +761,3 @@ def score_texts(docs: DataFrame, store: Store) -> DataFrame:
     scored = asked.repartitionById(buckets, F.col("bucket").cast("int")).sortWithinPartitions("bucket", "block").mapInArrow(_score(lexicon), _SUMS)
     by_block = scored.repartition("block").sortWithinPartitions("block", "bucket")
     return by_block.mapInArrow(_add(lexicon), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-
-
-def op5_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
-    return score_texts(documents(spark, sf_dir).select("doc_id", held_out.alias("held_out"), "text"), Store(spark))

@@ -10,9 +10,9 @@ from .editcount import op6_editcount
 from .langid import op9_langid
 from .licences import op7_licences
 from .neardup import op10_neardup
-from .pitman_yor import op5_pitman_yor
 from .toxicity import op4_toxicity
 from .urls import op1_urls
+from .word_contexts import op5_pitman_yor
 
 QUERIES = {
     "op1_urls": op1_urls,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -48,6 +49,11 @@ class Store:
                 there = jvm.org.apache.hadoop.fs.Path(path)
                 there.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
 
+    def forget(self) -> None:
+        """Has the driver notice which shuffles nothing refers to any more, so that their files go before more are written."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
