@@ -89,16 +89,20 @@ def seat(customers: np.ndarray, odds: np.ndarray, discount: float, h: np.ndarray
     draw = uniform(h, 2 * sweep + 1)
     at = np.flatnonzero((customers > 1) & (customers <= EXACT))
     at = at[np.argsort(customers[at], kind="stable")]
-    for c in np.unique(customers[at]).tolist():
-        low, high = np.searchsorted(customers[at], (c, c + 1))
-        for a in range(low, high, step := max(1, (1 << 19) // c)):
-            some = at[a : min(a + step, high)]
-            each = np.repeat(odds[some, None], c, axis=1)
-            if more is not None:
-                each[:, 1:] += more[0][some, None] * (np.arange(1, c) - more[1][some, None])
-            weight = stirling(discount)[c, 1 : c + 1] + np.log(np.maximum(each, 1e-300)).cumsum(axis=1)
-            weight = np.exp(weight - weight.max(axis=1, keepdims=True)).cumsum(axis=1)
-            tables[some] = 1 + (weight < draw[some, None] * weight[:, -1:]).sum(axis=1)
+    sizes, low = customers[at], 0
+    while low < len(at):
+        # dishes of some sizes that differ little are drawn together: there are no Stirling numbers beyond a dish's own customers
+        most = sizes[low] + sizes[low] // 8
+        high = min(int(np.searchsorted(sizes, most, "right")), low + max(1, (1 << 18) // int(most)))
+        some, c = at[low:high], sizes[low:high]
+        width = int(c[-1])
+        each = np.repeat(odds[some, None], width, axis=1)
+        if more is not None:
+            each[:, 1:] += more[0][some, None] * (np.arange(1, width) - more[1][some, None])
+        weight = stirling(discount)[c, 1 : width + 1] + np.log(np.maximum(each, 1e-300)).cumsum(axis=1)
+        weight = np.exp(weight - weight.max(axis=1, keepdims=True)).cumsum(axis=1)
+        tables[some] = 1 + (weight < draw[some, None] * weight[:, -1:]).sum(axis=1)
+        low = high
     at = np.flatnonzero(customers > EXACT)
     if len(at):
         now = odds[at] if more is None else odds[at] + more[0][at] * np.maximum(more[2][at] - more[1][at], 0)
@@ -333,10 +337,12 @@ def _packed(rows: list[tuple], schema: str) -> pa.RecordBatch:
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    """Rows one at a time, so that no more than one is held as Python values."""
+    """Rows one at a time, so that no more than one is held as Python values; columns without any are not looked into."""
     for batch in batches:
+        blank = dict.fromkeys(batch.schema.names)
+        some = [(f, batch.column(j)) for j, f in enumerate(batch.schema.names) if batch.column(j).null_count < batch.num_rows]
         for k in range(batch.num_rows):
-            yield {f: batch.column(j)[k].as_py() for j, f in enumerate(batch.schema.names)}
+            yield blank | {f: c[k].as_py() for f, c in some}
 
 
 #: ``fan``: training contexts of each word; ``ctx`` and ``train``: these and their counts, word by word in order.

@@ -7,15 +7,22 @@ merged or capped.
 
 A dish's customers are the occurrences of a pair of tokens. A pair that occurs once
 has one table in every seating, so sweeps carry only those that occur more often.
-Dishes are kept with their words, by bucket. A restaurant's total is made where its
-own token's hash sends it: every sweep the buckets send there the tables of their
-pairs by token before, and get the restaurants' rates back. For scores they get
+Dishes are kept with their words, by bucket. A restaurant's total is made at the home
+of its own token, a range of hashes: every sweep the buckets send there the tables of
+their pairs by token before, and get the restaurants' rates back. For scores they get
 customers and tables of the restaurants in the seatings that are averaged.
+
+Texts are read and sent once. A bucket numbers its words, the tokens before them and
+its distinct pairs, held-out ones among them, in the order of their hashes; from then
+on numbers stand for hashes, and lists whose order both ends know travel without keys.
+Blocks stay as numbers of pairs, which rise, and are scored by those; each pair of a
+bucket is scored once. What does not change in sweeps is kept apart from what does.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,22 +34,62 @@ from .text import hash_ranges, mix, ranges
 
 #: Strength of the restaurants of whole words.
 STRENGTH = 1.0
-#: ``kind`` of a row: pairs to be merged or a row of the vocabulary, sums of the model, tables of restaurants by token before, what is asked of these, answers.
-WORDS, SUMS, TOTALS, ASKS, ANSWERS, BLOCKS = range(6)
-#: ``hot_*``: pairs of two customers and more, word by word, with the place of their parents' dishes; ``once``: hashes of the other pairs.
+#: Buckets of words at least, and the power with which they grow (``pitman_yor`` has the bytes for one at first); buckets for each home of restaurants.
+BUCKETS, POWER, FOR_HOME = 32, 0.7, 4
+#: Pairs that are scored at a time.
+STEP = 1 << 18
+#: ``kind`` of a row, in the order in which a bucket takes them: answers of a home, the bounds of homes in the list of tokens before, a seating, all pairs, the
+#: vocabulary, blocks; and what homes get and keep: tokens asked for, restaurants, places of a bucket's tokens in these, tables; sums of the model.
+ANSWERS, HOMES, SEATED, PAIRS, WORDS, BLOCKS, ASKS, KEPT, PLACES, TABLES, SUMS = range(11)
+#: ``hot_*``: pairs of two customers and more, word by word, with the place of the token before among those of such pairs, and of their parents' dishes;
+#: ``pair_*``: all pairs, with 0, 1 or 2 for none, one and more customers; ``us*``: tokens before.
 _COLUMNS = (
-    "kind long, bucket long, origin long, lengths binary, spelling binary, fan binary, ctx binary, train binary, tables binary, past binary, "
-    "hot_u binary, hot_n binary, hot_t binary, hot_at binary, once binary, us binary, xs binary, part long, keys binary, counts binary, n long, texts binary, ids binary, flags binary"
+    "kind long, bucket long, origin long, part long, n long, lengths binary, spelling binary, fan binary, ctx binary, train binary, hot_u binary, hot_n binary, hot_at binary, "
+    "tables binary, hot_t binary, pair_fan binary, pair_u binary, pair_n binary, us binary, us_ctx binary, us_n binary, us_once binary, us_hot binary, xs binary, "
+    "keys binary, counts binary, held binary, times binary, texts binary, ids binary, flags binary"
 )
-_NAMES = [c.split()[0] for c in _COLUMNS.split(", ")]
+_KINDS = dict(c.split() for c in _COLUMNS.split(", "))
+
+
+@cache
+def _null(kind: str) -> pa.Array:
+    return pa.nulls(1, {"long": pa.int64(), "binary": pa.binary()}[kind])
 
 
 def _row(**values) -> pa.RecordBatch:
-    return py._packed([tuple(v.tobytes() if isinstance(v := values.get(c), np.ndarray) else v for c in _NAMES)], _COLUMNS)
+    arrays = [_null(t) if (v := values.get(c)) is None else pa.array([v], pa.int64() if t == "long" else pa.binary()) for c, t in _KINDS.items()]
+    return pa.RecordBatch.from_arrays(arrays, list(_KINDS))
+
+
+@cache
+def _fast() -> pa.Codec:
+    return pa.Codec("zstd", compression_level=1)
+
+
+def squeeze(x: np.ndarray) -> bytes:
+    """Numbers of 0 and more as compressed bytes, of the least width that holds them; all first bytes come before all second ones."""
+    x = np.asarray(x)
+    width = next(w for w in (1, 2, 4, 8) if not len(x) or int(x.max()) < 1 << 8 * w)
+    x = np.ascontiguousarray(x, f"<u{width}")
+    flat = x if width == 1 else np.ascontiguousarray(x.view(np.uint8).reshape(-1, width).T)
+    return bytes([width]) + x.nbytes.to_bytes(8, "little") + _fast().compress(flat.tobytes(), asbytes=True)
+
+
+def spread(data: bytes, to=np.int64) -> np.ndarray:
+    width, size = data[0], int.from_bytes(data[1:9], "little")
+    if not size:
+        return np.zeros(0, to)
+    flat = np.frombuffer(_fast().decompress(data[9:], size), np.uint8)
+    return np.ascontiguousarray(flat.reshape(width, -1).T).view(f"<u{width}").reshape(-1).astype(to)
+
+
+def rising(x: np.ndarray) -> bytes:
+    """Numbers that rise, by their steps."""
+    return squeeze(np.diff(x, prepend=x.dtype.type(0)))
 
 
-def _read(row: dict, column: str, kind=np.int64) -> np.ndarray:
-    return np.frombuffer(row[column], kind)
+def risen(data: bytes, to=np.int64) -> np.ndarray:
+    return np.cumsum(spread(data, to), dtype=to)
 
 
 def pair_hash(word: np.ndarray, before: np.ndarray) -> np.ndarray:
@@ -65,86 +112,54 @@ def gamma(shape: np.ndarray, h: np.ndarray, salt: int) -> np.ndarray:
     return out
 
 
-def _pairs(which: np.ndarray, size: np.ndarray, context: np.ndarray, weight: np.ndarray):
-    """Distinct pairs of tokens of a block in order: word, token before, its classes, and the sums of ``weight``; and the pair of each occurrence."""
-    before = np.r_[np.flatnonzero(size == 0)[:1], which[:-1]]
-    code, first, place = np.unique(which * len(size) + before, return_index=True, return_inverse=True)
-    return code // len(size), code % len(size), context[first], np.bincount(place, weight, len(code)).astype(np.int64), place
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct values of some sorted runs, the first place of each, and which of them each is."""
+    order = np.argsort(x, kind="stable")
+    x = x[order]
+    new = np.ones(len(x), bool)
+    new[1:] = x[1:] != x[:-1]
+    which = np.empty(len(x), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return x[new], order[new], which
 
 
-def _count(buckets: int):
+def _home(u: np.ndarray, homes: int) -> np.ndarray:
+    """Homes take ranges of hashes, so that sorted tokens go to them in slices."""
+    return (((u >> np.uint64(32)) * np.uint64(homes)) >> np.uint64(32)).astype(np.int64)
+
+
+def _send(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(doc_id, held_out, text) to the distinct words and pairs of each block, those that are only held out among them."""
+        """(doc_id, held_out, text) to the distinct words and pairs of each block with their occurrences, a row for each bucket of words."""
         for block in py._blocks(batches):
             key, start, size, which, context, text, whole = py._tally(block)
-            word, before, ctx, n, _ = _pairs(which, size, context, ~np.array(block.held, bool)[text])
+            held = np.array(block.held, bool)
+            before = np.r_[np.flatnonzero(size == 0)[:1], which[:-1]]
+            of_key = np.zeros(len(key), np.int64)
+            of_key[before] = context
+            code = which * len(key) + before
+            order = np.argsort(code, kind="stable")
+            code, texts = code[order], text[order]
+            first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+            times = np.diff(np.r_[first, len(code)])
+            unlearned = np.add.reduceat(held[texts].astype(np.int64), first)
+            word, before = np.divmod(code[first], len(key))
             fan = np.bincount(word, minlength=len(key))
-            ends, of = np.cumsum(fan), py._bucket(key, buckets)
+            fans, of = np.cumsum(fan), py._bucket(key, buckets)
+            last = int(of[size == 0][0])  # every text has an end, so this bucket has a row of the block: it takes the ids
+            ids = np.array([0 if i is None else i for i in block.ids], np.int64)
+            flags = np.array([2 * (i is None) + bool(h) for i, h in zip(block.ids, block.held)], np.uint8)
             for b in np.unique(of).tolist():
                 at = np.flatnonzero(of == b)
-                own = ranges(ends[at] - fan[at], fan[at])
-                yield _row(kind=WORDS, bucket=b, lengths=size[at].astype(np.uint32), spelling=whole[ranges(start[at], size[at])], fan=fan[at].astype(np.uint32), ctx=ctx[own].astype(np.uint16), hot_u=key[before[own]], hot_n=n[own].astype(np.uint32))
-
-    return run
-
-
-def _by_home(u: np.ndarray, buckets: int, xs: np.ndarray | None, **others) -> Iterator[pa.RecordBatch]:
-    """A row for each bucket of the tokens ``u``, with the columns of ``xs``."""
-    of = py._bucket(u, buckets)
-    for b in np.unique(of).tolist():
-        some = of == b
-        yield _row(bucket=b, us=u[some], xs=None if xs is None else np.ascontiguousarray(xs[:, some]).astype(np.int64), **others)
-
-
-def _merge(buckets: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by bucket to its vocabulary with the pairs of the corpus, what their restaurants hold for good, and the tokens that are asked for."""
-        parts: list[tuple[np.ndarray, ...]] = []
-
-        def merged() -> None:
-            size, data, fan, ctx, u, n = (np.concatenate(x) for x in zip(*parts))
-            end = np.cumsum(size)
-            h, some, which = np.unique(hash_ranges(data, end - size, end), return_index=True, return_inverse=True)
-            word = np.repeat(which, fan)
-            _, first, place = np.unique(pair_hash(h[word], u), return_index=True, return_inverse=True)
-            n = np.bincount(place, n, len(first)).astype(np.int64)
-            order = np.lexsort((u[first], ctx[first], word[first]))
-            first, n = first[order], n[order]
-            parts[:] = [(size[some], data[ranges((end - size)[some], size[some])], np.bincount(word[first], minlength=len(h)), ctx[first], u[first], n)]
-
-        def ready(bucket: int) -> Iterator[pa.RecordBatch]:
-            merged()
-            size, data, fan, ctx, u, n = parts.pop()
-            ends, fans = np.r_[0, np.cumsum(size)], np.r_[0, np.cumsum(fan)]
-            for a in range(0, len(size), py.ROW):
-                b = min(len(size), a + py.ROW)
-                word, own = np.repeat(np.arange(b - a), fan[a:b]), slice(fans[a], fans[b])
-                some = n[own] > 0
-                word, pair_ctx, pair_u, pair_n = word[some], ctx[own][some], u[own][some], n[own][some]
-                dish, at = np.unique(word * py.CONTEXTS[0] + pair_ctx, return_inverse=True)
-                h = hash_ranges(data[ends[a] : ends[b]], ends[a:b] - ends[a], ends[a + 1 : b + 1] - ends[a])
-                hot = pair_n > 1
+                own = ranges(fans[at] - fan[at], fan[at])
+                there = np.zeros(len(key), bool)
+                there[before[own]] = True
+                us = np.flatnonzero(there)
                 yield _row(
-                    kind=WORDS, bucket=bucket, lengths=size[a:b].astype(np.uint32), spelling=data[ends[a] : ends[b]], fan=np.bincount(dish // py.CONTEXTS[0], minlength=b - a).astype(np.uint16),
-                    ctx=(dish % py.CONTEXTS[0]).astype(np.uint16), train=np.bincount(at[~hot], minlength=len(dish)).astype(np.int64),
-                    hot_u=pair_u[hot], hot_n=pair_n[hot].astype(np.uint32), hot_at=at[hot].astype(np.uint32), once=np.sort(pair_hash(h[word[~hot]], pair_u[~hot])),
+                    kind=BLOCKS, bucket=b, part=block.number, n=len(block.ids), lengths=squeeze(size[at]), spelling=whole[ranges(start[at], size[at])].tobytes(), fan=squeeze(fan[at]),
+                    us=rising(key[us]), us_ctx=squeeze(of_key[us]), pair_u=squeeze((np.cumsum(there) - 1)[before[own]]), times=squeeze(times[own]), held=squeeze(unlearned[own]),
+                    texts=squeeze(texts[ranges(first[own], times[own])]), **({"ids": ids.tobytes(), "flags": flags.tobytes()} if b == last else {}),
                 )
-            every, place = np.unique(u, return_inverse=True)
-            sums = np.array([np.bincount(place, n, len(every)), np.bincount(place, n == 1, len(every))])
-            yield from _by_home(every, buckets, sums, kind=ASKS, origin=bucket, part=0)
-
-        last = None
-        for row in py._rows(batches):
-            if row["bucket"] != last:
-                if last is not None:
-                    yield from ready(last)
-                last = row["bucket"]
-            parts.append(tuple(_read(row, c, k).astype(t) for c, k, t in (("lengths", np.uint32, np.int64), ("spelling", np.uint8, np.uint8), ("fan", np.uint32, np.int64), ("ctx", np.uint16, np.int64), ("hot_u", np.uint64, np.uint64), ("hot_n", np.uint32, np.int64))))
-            if len(parts) > 1 and sum(len(p[4]) + len(p[0]) for p in parts[1:]) > max(1 << 19, len(parts[0][4]) + len(parts[0][0])):
-                merged()
-        if last is not None:
-            yield from ready(last)
-        release()
 
     return run
 
@@ -161,54 +176,95 @@ def _groups(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[in
         yield last, rows
 
 
-def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """ASKS of a home, sorted, to one TOTALS row of it: customers and tables for good of each restaurant."""
+def _merge(homes: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by bucket to its vocabulary, its pairs, its blocks as numbers of pairs, and the tokens that are asked for."""
+        for bucket, rows in _groups(batches, "bucket"):
+            sizes = [spread(r["lengths"]) for r in rows]
+            size, data = np.concatenate(sizes), np.frombuffer(b"".join(r.pop("spelling") for r in rows), np.uint8)
+            end = np.cumsum(size)
+            h, some, which = _distinct(hash_ranges(data, end - size, end))
+            us = [risen(r.pop("us"), np.uint64) for r in rows]
+            u, first, place = _distinct(np.concatenate(us))
+            u_ctx = np.concatenate([spread(r["us_ctx"]) for r in rows])[first]
+            words, tokens = (np.r_[0, np.cumsum([len(x) for x in xs])] for xs in (sizes, us))
+            codes = [np.repeat(which[words[k] : words[k + 1]], spread(r["fan"])) * len(u) + place[tokens[k] + spread(r["pair_u"])] for k, r in enumerate(rows)]
+            ends = np.cumsum([len(c) for c in codes])
+            code, _, pair = _distinct(np.concatenate(codes))
+            n = np.bincount(pair, np.concatenate([spread(r["times"]) - spread(r["held"]) for r in rows]), len(code)).astype(np.int64)
+            for r, a, b in zip(rows, np.r_[0, ends], ends):
+                yield _row(kind=BLOCKS, bucket=bucket, **{c: r[c] for c in ("part", "n", "times", "texts", "ids", "flags")}, keys=rising(pair[a:b]))
+            del rows, codes, pair, us, place, which, first
+            word, token = np.divmod(code, len(u))
+            customers, once = (np.bincount(token, x, len(u)).astype(np.int64) for x in (n, n == 1))
+            hot = np.bincount(token, n > 1, len(u)) > 0
+            cuts = np.searchsorted(_home(u, homes), np.arange(homes + 1))
+            yield _row(kind=HOMES, bucket=bucket, xs=squeeze(np.r_[0, np.cumsum(hot)][cuts]), us_ctx=squeeze(u_ctx))
+            for k, (a, b) in enumerate(zip(cuts.tolist(), cuts[1:].tolist())):
+                if a < b:
+                    yield _row(kind=ASKS, bucket=k, origin=bucket, us=rising(u[a:b]), us_n=squeeze(customers[a:b]), us_once=squeeze(once[a:b]), us_hot=squeeze(hot[a:b]))
+            size, start, of_hot = size[some], (end - size)[some], np.cumsum(hot) - 1
+            for a in range(0, len(h), py.ROW):
+                b = min(len(h), a + py.ROW)
+                low, high = np.searchsorted(word, (a, b))
+                yield _row(kind=PAIRS, bucket=bucket, origin=a, pair_fan=squeeze(np.bincount(word[low:high] - a, minlength=b - a)), pair_u=squeeze(token[low:high]), pair_n=squeeze(np.minimum(n[low:high], 2)))
+                own = low + np.flatnonzero(n[low:high])
+                dish, _, at = _distinct((word[own] - a) * py.CONTEXTS[0] + u_ctx[token[own]])
+                now = n[own]
+                yield _row(
+                    kind=WORDS, bucket=bucket, origin=a, lengths=squeeze(size[a:b]), spelling=data[ranges(start[a:b], size[a:b])].tobytes(), fan=squeeze(np.bincount(dish // py.CONTEXTS[0], minlength=b - a)),
+                    ctx=squeeze(dish % py.CONTEXTS[0]), train=squeeze(np.bincount(at[now == 1], minlength=len(dish))), hot_u=squeeze(of_hot[token[own[now > 1]]]), hot_n=squeeze(now[now > 1]), hot_at=squeeze(at[now > 1]),
+                )
+        release()
+
+    return run
+
+
+def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """ASKS of a home, sorted, to what it knows of its restaurants for good, and the places in these of each bucket's tokens; part 1: of those with hot pairs only."""
     for home, rows in _groups(batches, "bucket"):
-        u, place = np.unique(np.concatenate([_read(r, "us", np.uint64) for r in rows]), return_inverse=True)
-        xs = np.concatenate([_read(r, "xs").reshape(2, -1) for r in rows], axis=1)
-        yield _row(kind=TOTALS, bucket=home, part=0, us=u, xs=np.array([np.bincount(place, x, len(u)) for x in xs]).astype(np.int64))
+        us = [risen(r["us"], np.uint64) for r in rows]
+        u, _, place = _distinct(np.concatenate(us))
+        customers, once = (np.bincount(place, np.concatenate([spread(r[c]) for r in rows]), len(u)).astype(np.int64) for c in ("us_n", "us_once"))
+        own = np.concatenate([spread(r["us_hot"], bool) for r in rows])
+        hot = np.bincount(place, own, len(u)) > 0
+        of_hot = np.cumsum(hot) - 1
+        yield _row(kind=KEPT, bucket=home, part=0, us_n=squeeze(customers), us_once=squeeze(once), us_hot=squeeze(hot))
+        yield _row(kind=KEPT, bucket=home, part=1, us=rising(u[hot]), us_once=squeeze(once[hot]))
+        ends = np.cumsum([len(x) for x in us])
+        for r, a, b in zip(rows, np.r_[0, ends], ends):
+            yield _row(kind=PLACES, bucket=home, origin=r["origin"], part=0, xs=rising(place[a:b]))
+            yield _row(kind=PLACES, bucket=home, origin=r["origin"], part=1, xs=rising(of_hot[place[a:b][own[a:b]]]))
+    release()
 
 
 def _answer(seatings: int, discount: float, sweep: int):
-    """Rows of a home to answers (u, rate) of each origin, or with ``seatings`` (u, customers, tables by seating).
-
-    TOTALS of part 0 are those that are held for good; of part k, from the k-th seating.
-    """
+    """Rows of a home to the rates of each bucket's tokens, or with ``seatings`` customers and tables by seating; TABLES of part k are those of the k-th."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _groups(batches, "bucket"):
-            kept = [r for r in rows if r["kind"] == TOTALS and not r["part"]]
-            u = _read(kept[0], "us", np.uint64)
-            customers, once = _read(kept[0], "xs").reshape(2, -1)
+        for home, rows in _groups(batches, "bucket"):
+            kept = {r["part"]: r for r in rows if r["kind"] == KEPT}
+            places = {(r["origin"], r["part"]): risen(r["xs"]) for r in rows if r["kind"] == PLACES}
+            once = spread(kept[0 if seatings else 1]["us_once"])
+            hot = np.flatnonzero(spread(kept[0]["us_hot"])) if seatings else np.arange(len(once))
             tables = np.repeat(once[None, :], max(1, seatings), axis=0)
             for r in rows:
-                if r["kind"] == TOTALS and r["part"]:
-                    own = _read(r, "xs")
-                    tables[r["part"] - 1, np.searchsorted(u, _read(r, "us", np.uint64))] += own
-            out = np.vstack([customers, tables]).astype(float) if seatings else (discount * gamma(STRENGTH / discount + tables[0], u, sweep))[None, :]
-            for r in rows:
-                if r["kind"] == (ASKS if seatings else TOTALS) and r["origin"] is not None:
-                    own = _read(r, "us", np.uint64)
-                    yield _row(kind=ANSWERS, bucket=r["origin"], part=-1, us=own, xs=np.ascontiguousarray(out[:, np.searchsorted(u, own)]))
+                if r["kind"] == TABLES:
+                    tables[r["part"] - 1, hot[places[r["origin"], 1]]] += spread(r["xs"])
+            if seatings:
+                out = np.vstack([spread(kept[0]["us_n"]), tables])
+            else:
+                rates = discount * gamma(STRENGTH / discount + tables[0], risen(kept[1]["us"], np.uint64), sweep)
+            for (origin, part), place in places.items():
+                if part == (0 if seatings else 1):
+                    yield _row(kind=ANSWERS, bucket=origin, origin=home, xs=squeeze(out[:, place]) if seatings else rates[place].astype(np.float32).tobytes())
         release()
 
     return run
 
 
-class _Answers:
-    """Answers to a bucket by token before."""
-
-    def __init__(self, rows: list[dict], width: int):
-        u = np.concatenate([np.zeros(0, np.uint64), *(_read(r, "us", np.uint64) for r in rows)])
-        self.u, first = np.unique(u, return_index=True)
-        self.xs = np.concatenate([np.zeros((width, 0)), *(_read(r, "xs", float).reshape(width, -1) for r in rows)], axis=1)[:, first]
-
-    def of(self, u: np.ndarray) -> np.ndarray:
-        return self.xs[:, np.searchsorted(self.u, u)]
-
-
-def hot_tables(dishes: py.Dishes, train, tables, base, totals: py.Totals, discounts, rates, h, sweep: int, u, n, t, at, discount: float) -> np.ndarray:
-    """Pairs of two customers and more seated anew in the restaurants of whole words; ``train``: the customers of their parents' dishes."""
+def hot_tables(dishes: py.Dishes, train, tables, base, totals: py.Totals, discounts, rates, h, sweep: int, place, n, t, at, discount: float) -> np.ndarray:
+    """Pairs of two customers and more seated anew in the restaurants of whole words; ``place``: of the token before among those of the bucket; ``train``: the customers of their parents' dishes."""
     now = dishes.customers(train, tables)
     p2 = (np.maximum(now[2] - discounts[2] * tables[2], 0) + totals.fresh(2, discounts)[0] * base) / totals.whole(2)[0]
     one = dishes.context[1]
@@ -217,50 +273,75 @@ def hot_tables(dishes: py.Dishes, train, tables, base, totals: py.Totals, discou
     fresh, whole = totals.fresh(0, discounts)[two] * p1[dishes.up], totals.whole(0)[two]
     odds, step, lost = py.without(t, train[at], tables[0][at], fresh[at], whole[at], discounts[0])
     word = dishes.keys[0][at] // py.CONTEXTS[0]
-    return py.seat(n, rates * odds, discount, mix(pair_hash(h[word], u)), sweep, (rates * step, lost, t))
+    return py.seat(n, rates * odds, discount, mix(pair_hash(h[word], place.astype(np.uint64))), sweep, (rates * step, lost, t))
 
 
 #: What is summed behind the spelling keys: as in ``pitman_yor``, then training tokens, and pairs with one and with two customers.
 _SUMMED = np.cumsum([py.SPELLED, py.CONTEXTS[0], *py.CONTEXTS, 1, 6, 3])
 
 
-def _sweep(held, totals: py.Totals | None, rates, discounts, discount: float, sweep: int, buckets: int):
-    """The vocabulary after ``sweep`` sweeps to that after one more, as in ``pitman_yor``; answers of a bucket come before its rows."""
+def _arrays(row: dict) -> tuple[np.ndarray, ...]:
+    """Hashes, bytes and lengths of the words of a row of the vocabulary, their dishes, customers of these for good; tokens before, customers and dishes of hot pairs."""
+    size, data = spread(row["lengths"]), np.frombuffer(row["spelling"], np.uint8)
+    end = np.cumsum(size)
+    dishes = py.Dishes(*(spread(row[c]) for c in ("fan", "ctx")))
+    return hash_ranges(data, end - size, end), data, size, dishes, *(spread(row[c]) for c in ("train", "hot_u", "hot_n", "hot_at"))
+
+
+def _table(held) -> np.ndarray:
+    return np.frombuffer(py._zstd().decompress(held.value, py.SPELLED * 4), np.float32).reshape(-1, py.SYMBOLS)
+
+
+def _base(table: np.ndarray, key: np.ndarray, word: np.ndarray, n: int) -> np.ndarray:
+    """Probability of each of ``n`` words under a spelling model, from ``pitman_yor.spelled``."""
+    return np.exp(np.bincount(word, np.log(table.reshape(-1)[key]), n))
+
+
+def _sweep(held, totals: py.Totals | None, rates, discounts, discount: float, sweep: int):
+    """The seating after ``sweep`` sweeps to that after one more, as in ``pitman_yor``; sweep 0 makes the first.
+
+    Answers, bounds of homes and the seating of a bucket come before its words.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spelt = None if held is None else np.frombuffer(py._zstd().decompress(held.value, py.SPELLED * 4), np.float32).reshape(-1, py.SYMBOLS)
+        spelt = None if held is None else _table(held)
         spellings: list[tuple[np.ndarray, np.ndarray]] = []
         others = np.zeros(int(_SUMMED[-1]) - py.SPELLED, np.int64)
-        last, given, answers = None, [], None
+        last, answers, seated, cuts, sums = None, [], {}, None, None
+
+        def told() -> Iterator[pa.RecordBatch]:
+            for k, (a, b) in enumerate(zip(cuts.tolist(), cuts[1:].tolist())):
+                if a < b:
+                    yield _row(kind=TABLES, bucket=k, origin=last, part=1, xs=squeeze(sums[a:b]))
+
         for row in py._rows(batches):
             if row["bucket"] != last:
-                last, given, answers = row["bucket"], [], None
+                if last is not None:
+                    yield from told()
+                last, answers, seated = row["bucket"], [np.zeros(0, np.float32)], {}
             if row["kind"] == ANSWERS:
-                given.append(row)
-                continue
-            if answers is None:
-                answers, given = _Answers(given, 1), []
-            h, data, size, dishes, once = py._arrays(row)
-            u, n, at = _read(row, "hot_u", np.uint64), _read(row, "hot_n", np.uint32).astype(np.int64), _read(row, "hot_at", np.uint32).astype(np.int64)
-            customers = lambda t: once + np.bincount(at, t, len(once)).astype(np.int64)
-            past = row["past"] or b""
-            if sweep:
-                tables, t, log_base = dishes.split(_read(row, "tables", np.uint32)), _read(row, "hot_t", np.uint32).astype(np.int64), py.log_spelling(spelt, data, size)
-                if sweep > py.SWEEPS - py.AVERAGED + 1:
-                    past += row["tables"] + row["hot_t"] + log_base.tobytes()
-            if sweep > py.SWEEPS:
-                yield _row(**{c: row[c] for c in _NAMES if c not in ("past", "kind")}, past=past, kind=WORDS)
+                answers.append(np.frombuffer(row["xs"], np.float32))
+            elif row["kind"] == HOMES:
+                cuts, answers = spread(row["xs"]), np.concatenate(answers).astype(float)
+                sums = np.zeros(cuts[-1], np.int64)
+            elif row["kind"] == SEATED:
+                seated[row["origin"]] = row
+            if row["kind"] != WORDS:
                 continue
+            h, data, size, dishes, once, place, n, at = _arrays(row)
+            key, word = py.spelled(data, size)
+            customers = lambda t: once + np.bincount(at, t, len(once)).astype(np.int64)  # noqa: E731, B023
             if sweep:
-                base = np.exp(log_base)
-                t = hot_tables(dishes, customers(t), tables, base, totals, discounts, answers.of(u)[0], h, sweep, u, n, t, at, discount)
+                before = seated.pop(row["origin"])
+                tables, t, base = dishes.split(spread(before["tables"])), spread(before["hot_t"]), _base(spelt, key, word, len(size))
+                t = hot_tables(dishes, customers(t), tables, base, totals, discounts, answers[place], h, sweep, place, n, t, at, discount)
                 train = customers(t)
                 tables = dishes.sweep(train, tables, base, totals, rates, discounts, h, sweep)
             else:
-                t = np.ones(len(u), np.int64)
+                t = np.ones(len(n), np.int64)
                 train = customers(t)
                 tables = dishes.first(train)
-            key, word = py.spelled(data, size)
+            sums += np.bincount(place, t, len(sums)).astype(np.int64)
             some, which = np.unique(key, return_inverse=True)
             spellings.append((some, np.bincount(which, tables[2][word], len(some))))
             if len(spellings) > 16:
@@ -270,17 +351,16 @@ def _sweep(held, totals: py.Totals | None, rates, discounts, discount: float, sw
             whole = np.array([once.sum() + n.sum(), once.sum(), (n == 2).sum()])
             for k, own in enumerate((np.bincount(dishes.context[0], train, py.CONTEXTS[0]), *(np.bincount(c, x, m) for c, x, m in zip(dishes.context, tables, py.CONTEXTS)), np.array([(by_level[2] > 0).sum()]), np.array(few), whole)):
                 others[_SUMMED[k] - py.SPELLED : _SUMMED[k + 1] - py.SPELLED] += own.astype(np.int64)
-            yield _row(**{c: row[c] for c in ("bucket", "lengths", "spelling", "fan", "ctx", "train", "hot_u", "hot_n", "hot_at")}, kind=WORDS, tables=np.concatenate(tables).astype(np.uint32), hot_t=t.astype(np.uint32), past=past)
-            if len(u):
-                own, place = np.unique(u, return_inverse=True)
-                yield from _by_home(own, buckets, np.bincount(place, t, len(own))[None, :], kind=TOTALS, origin=row["bucket"], part=1)
-        if sweep <= py.SWEEPS and others.any():
+            yield _row(kind=SEATED, bucket=last, origin=row["origin"], tables=squeeze(np.concatenate(tables)), hot_t=squeeze(t))
+        if last is not None:
+            yield from told()
+        if others.any():
             some = np.flatnonzero(others)
             keys, found = py._sums([*spellings, (some + py.SPELLED, others[some])])
             part, found = keys % py._PARTS, found.astype(np.int64)
             for k in range(py._PARTS):
                 if (part == k).any():
-                    yield _row(kind=SUMS, part=k, keys=keys[part == k], counts=found[part == k])
+                    yield _row(kind=SUMS, part=k, keys=keys[part == k].tobytes(), counts=found[part == k].tobytes())
         release()
 
     return run
@@ -290,93 +370,64 @@ def _dealt(df: DataFrame, buckets: int, *order: str) -> DataFrame:
     return df.repartitionById(buckets, F.col("bucket").cast("int")).sortWithinPartitions("bucket", *order)
 
 
-def _send(buckets: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Texts to the pairs of each block with their occurrences, a row for each bucket of words."""
-        for block in py._blocks(batches):
-            key, _, size, which, context, text, _ = py._tally(block)
-            word, before, ctx, times, place = _pairs(which, size, context, np.ones(len(which)))
-            order = np.argsort(place, kind="stable")
-            ends, of = np.cumsum(times), py._bucket(key, buckets)
-            fan = np.bincount(word, minlength=len(key))
-            fans, last = np.cumsum(fan), int(of[size == 0][0])
-            ids = np.array([0 if i is None else i for i in block.ids], np.int64)
-            flags = np.array([2 * (i is None) + bool(h) for i, h in zip(block.ids, block.held)], np.uint8)
-            for b in np.unique(of).tolist():
-                at = np.flatnonzero(of == b)
-                own = ranges(fans[at] - fan[at], fan[at])
-                texts = text[order[ranges(ends[own] - times[own], times[own])]]
-                yield _row(
-                    kind=BLOCKS, bucket=b, part=block.number, n=len(block.ids), hot_u=key[before[own]], hot_n=times[own].astype(np.uint32), ctx=ctx[own].astype(np.uint16),
-                    keys=key[at], fan=fan[at].astype(np.uint32), texts=texts.astype(np.uint16), **({"ids": ids, "flags": flags} if b == last else {}),
-                )
-
-    return run
+def _of(df: DataFrame, columns: str, *kinds: int) -> DataFrame:
+    """Rows of some kinds; only their ``columns`` are read."""
+    own = {"kind", "bucket", *columns.split()}
+    return df.where(F.col("kind").isin(*kinds)).select(*(F.col(c) if c in own else F.lit(None).cast(t).alias(c) for c, t in _KINDS.items()))
 
 
 class _Bucket:
-    """The vocabulary of a bucket with what its dishes and pairs give in each seating (columns), and the restaurants of the tokens before."""
-
-    def __init__(self, rows: list[dict], once: list[dict], answers: _Answers, lexicon: py.Lexicon, discount: float):
-        hashes, counts, keys, seen, fans, shares = [], [], [], [], [], []
-        d = lexicon.discounts
-        for r in rows:
-            h, _, _, dishes, single = py._arrays(r)
-            u, n, at = _read(r, "hot_u", np.uint64), _read(r, "hot_n", np.uint32).astype(np.int64), _read(r, "hot_at", np.uint32).astype(np.int64)
-            word = dishes.keys[0][at] // py.CONTEXTS[0]
-            m, o, hot, levels = len(dishes.up) + len(dishes.word) + dishes.n, 0, [], []
-            for totals in lexicon.past:
-                tables, t = dishes.split(np.frombuffer(r["past"], np.uint32, m, o)), np.frombuffer(r["past"], np.uint32, len(u), o + 4 * m).astype(np.int64)
-                base = np.exp(np.frombuffer(r["past"], np.float64, dishes.n, o + 4 * m + 4 * len(u)))
-                o += 4 * m + 4 * len(u) + 8 * dishes.n
-                now = dishes.customers(single + np.bincount(at, t, len(single)).astype(np.int64), tables)
-                p2 = (np.maximum(now[2] - d[2] * tables[2], 0) + totals.fresh(2, d)[0] * base) / totals.whole(2)[0]
+    """What the pairs of a bucket score and whether their words are known, from its rows; seatings are columns."""
+
+    def __init__(self, rows: list[dict], held: list, lexicon: py.Lexicon, discount: float):
+        of = lambda kind: [r for r in rows if r["kind"] == kind]
+        seated = {(r["origin"], r["part"]): r for r in of(SEATED)}
+        words, d = [(r["origin"], *_arrays(r)) for r in of(WORDS)], lexicon.discounts
+        keys = [py.spelled(data, size) for _, _, data, size, *_ in words]
+        levels, hot = [[] for _ in words], [[] for _ in words]
+        for k, totals in enumerate(lexicon.past):
+            spelt = _table(held[k])
+            for i, (origin, _, _, size, dishes, once, _, n, at) in enumerate(words):
+                tables, t = dishes.split(spread(seated[origin, k + 1]["tables"])), spread(seated[origin, k + 1]["hot_t"])
+                now = dishes.customers(once + np.bincount(at, t, len(once)).astype(np.int64), tables)
+                p2 = (np.maximum(now[2] - d[2] * tables[2], 0) + totals.fresh(2, d)[0] * _base(spelt, *keys[i], len(size))) / totals.whole(2)[0]
                 p1 = (now[1] - d[1] * tables[1] + totals.fresh(1, d)[dishes.context[1]] * p2[dishes.word]) / totals.whole(1)[dishes.context[1]]
                 p0 = (now[0] - d[0] * tables[0] + totals.fresh(0, d)[dishes.context[0]] * p1[dishes.up]) / totals.whole(0)[dishes.context[0]]
-                levels.append((p0, p1, p2))
-                hot.append(n - discount * t)
-            hashes.append(h)
-            counts.append(np.bincount(dishes.keys[0] // py.CONTEXTS[0], single, dishes.n) + np.bincount(word, n, dishes.n))
-            keys.append(pair_hash(h[word], u))
-            seen.append(np.array(hot).T)
-            fans.append((_read(r, "fan", np.uint16).astype(np.int64), dishes.context[0]))
-            shares.append([np.array(x).T for x in zip(*levels)])
-        for r in once:
-            keys.append(_read(r, "once", np.uint64))
-            seen.append(np.full((len(keys[-1]), len(lexicon.past)), 1 - discount))
-        self.h, self.count = np.concatenate(hashes), np.concatenate(counts).astype(np.int64)
-        self.dishes = py.Dishes(*(np.concatenate(x) for x in zip(*fans)))
-        self.levels = [np.concatenate(x) for x in zip(*shares)]
-        self.order = np.argsort(self.h)
-        self.sorted = self.h[self.order]
-        order = np.argsort(key := np.concatenate(keys))
-        self.key, self.seen = key[order], np.concatenate(seen)[order]
-        self.answers, self.discount = answers, discount
+                levels[i].append((p0, p1, p2))
+                hot[i].append(n - discount * t)
+            del spelt
+        self.levels = [np.concatenate([np.array([x[k] for x in own]).T for own in levels]) for k in range(3)]
+        hot = np.concatenate([np.array(x).T for x in hot])
+        fan = np.concatenate([np.bincount(w[4].keys[0] // py.CONTEXTS[0], minlength=w[4].n) for w in words])
+        self.dishes = py.Dishes(fan, np.concatenate([w[4].context[0] for w in words]))
+        count = np.concatenate([np.bincount(w[4].keys[0] // py.CONTEXTS[0], w[5] + np.bincount(w[8], w[7], len(w[5])), w[4].n) for w in words])
         self.new = [np.array([t.fresh(k, d) / t.whole(k) for t in lexicon.past]).T for k in (0, 1)]
-
-    def place(self, h: np.ndarray) -> np.ndarray:
-        return self.order[np.searchsorted(self.sorted, h)]  # every word is there
-
-    def pairs(self, word: np.ndarray, context: np.ndarray, u: np.ndarray) -> np.ndarray:
-        """Probability of each ``word`` (its place) behind the token ``u`` of classes ``context``, averaged over the seatings."""
+        pair_fan, u, seen = (np.concatenate([spread(r[c], to) for r in of(PAIRS)]) for c, to in (("pair_fan", np.int64), ("pair_u", np.int64), ("pair_n", np.uint8)))
+        word = np.repeat(np.arange(len(fan)), pair_fan)
+        about = np.concatenate([spread(r["xs"]).reshape(1 + len(lexicon.past), -1) for r in of(ANSWERS)], axis=1).T
+        context, self.score, place = spread(of(HOMES)[0]["us_ctx"]), np.zeros(len(word)), np.cumsum(seen == 2) - 1
+        for a in range(0, len(word), STEP):
+            own = slice(a, a + STEP)
+            p = self.parent(word[own], context[u[own]]) * (STRENGTH + discount * about[u[own], 1:])
+            p[seen[own] == 1] += 1 - discount
+            more = seen[own] == 2
+            p[more] += hot[place[own][more]]
+            self.score[own] = np.log10(np.maximum(p.mean(axis=1) / (STRENGTH + about[u[own], 0]), 1e-300))
+        self.base, self.known = np.log10((count + 1) / (lexicon.n + lexicon.types + 1))[word], (count > 0)[word]
+
+    def parent(self, word: np.ndarray, context: np.ndarray) -> np.ndarray:
+        """Probability of each ``word`` (its place) behind its classes ``context`` in each seating."""
         p = self.levels[2][word]
         for level in (1, 0):
             own = context // py.CLASSES if level else context
             p = self.new[level][own] * p
             at, there = self.dishes.find(level, word * py.CONTEXTS[level] + own)
-            if there.any():
-                p[there] = self.levels[level][at[there]]
-        about = self.answers.of(u).T
-        p *= STRENGTH + self.discount * about[:, 1:]
-        h = pair_hash(self.h[word], u)
-        at = np.minimum(np.searchsorted(self.key, h), max(0, len(self.key) - 1))
-        there = self.key[at] == h if len(self.key) else np.zeros(len(h), bool)
-        p[there] += self.seen[at[there]]
-        return p.mean(axis=1) / (STRENGTH + about[:, 0])
+            p[there] = self.levels[level][at[there]]
+        return p
 
 
-def _score(lexicon: py.Lexicon, discount: float):
-    """Rows of a bucket (answers, its vocabulary, its pairs that occur once, blocks) to sums by text for each block."""
+def _score(held: list, lexicon: py.Lexicon, discount: float):
+    """Rows of a bucket, its blocks last, to sums by text for each block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, rows, bucket = None, [], None
@@ -387,17 +438,11 @@ def _score(lexicon: py.Lexicon, discount: float):
                 rows.append(row)
                 continue
             if bucket is None:
-                of = lambda kind, column: [r for r in rows if r["kind"] == kind and r[column] is not None]
-                bucket = _Bucket(of(WORDS, "past"), of(WORDS, "once"), _Answers(of(ANSWERS, "us"), 1 + len(lexicon.past)), lexicon, discount)
-                rows = []
-            word = np.repeat(bucket.place(_read(row, "keys", np.uint64)), _read(row, "fan", np.uint32))
-            times, text, n = _read(row, "hot_n", np.uint32), _read(row, "texts", np.uint16).astype(np.int64), row["n"]
-            score = np.log10(np.maximum(bucket.pairs(word, _read(row, "ctx", np.uint16).astype(np.int64), _read(row, "hot_u", np.uint64)), 1e-300))
-            c = bucket.count[word]
-            plain = np.log10((c + 1) / (lexicon.n + lexicon.types + 1))
-            sums = (np.bincount(text, np.repeat(x, times), n).tobytes() for x in (plain, score))
-            known = np.bincount(text, np.repeat(c > 0, times), n).astype(np.uint32).tobytes()
-            yield py._packed([(row["part"], last, np.bincount(text, minlength=n).astype(np.uint32).tobytes(), known, *sums, row["ids"], row["flags"])], py._SUMS)
+                bucket, rows = _Bucket(rows, held, lexicon, discount), []
+            pair, text, n = np.repeat(risen(row["keys"]), spread(row["times"])), spread(row["texts"]), row["n"]
+            sums = (np.bincount(text, x[pair], n).tobytes() for x in (bucket.base, bucket.score))
+            known, all_ = (np.bincount(text[x], minlength=n).astype(np.uint32).tobytes() for x in (bucket.known[pair], slice(None)))
+            yield py._packed([(row["part"], last, all_, known, *sums, row["ids"], row["flags"])], py._SUMS)
         release()
 
     return run
@@ -407,48 +452,49 @@ def score_texts(docs: DataFrame, store: Store) -> DataFrame:
     """As ``pitman_yor.score_texts``, with a restaurant for each whole token before."""
     source = docs.select("doc_id", "held_out", "text")
     size = source.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
-    buckets = max(py.BUCKETS, int((size / py.BUCKET_BYTES) ** py.POWER))
-    first = store.keep(_dealt(source.mapInArrow(_count(buckets), _COLUMNS), buckets).mapInArrow(_merge(buckets), _COLUMNS), "vocabulary")
-    asks = first.where(F.col("kind") == ASKS)
-    kept = store.keep(_dealt(asks, buckets).mapInArrow(_kept, _COLUMNS), "restaurants")
-    blank = {c: F.lit(None).cast("binary") for c in ("once", "tables", "past", "hot_t")}
-    context, lexicon, past, sent = docs.sparkSession.sparkContext, py.Lexicon(), [], []
-    now, held, totals, rates, discount = first.where(F.col("kind") == WORDS).withColumns(blank), None, None, None, 0.0
-    before = told = None
-    for sweep in range(py.SWEEPS + 2):
-        if 0 < sweep <= py.SWEEPS:
-            told = _dealt(before.where(F.col("kind") == TOTALS).unionByName(kept), buckets).mapInArrow(_answer(0, discount, sweep), _COLUMNS)
-            now = _dealt(now.unionByName(told), buckets, F.col("kind").desc())
-        after = store.keep(now.mapInArrow(_sweep(held, totals, rates, lexicon.discounts, discount, sweep, buckets), _COLUMNS), "seated")
-        if held is not None:
-            held.unpersist()
-        if sweep > py.SWEEPS - py.AVERAGED + 1:
-            past.append(totals)
-        if before is not None:
+    buckets = max(BUCKETS, int((size / py.BUCKET_BYTES) ** POWER))
+    homes = buckets // FOR_HOME
+    first = store.keep(_dealt(source.mapInArrow(_send(buckets), _COLUMNS), buckets).mapInArrow(_merge(homes), _COLUMNS), "vocabulary")
+    store.forget()
+    kept = store.keep(_dealt(_of(first, "origin us us_n us_once us_hot", ASKS), homes).mapInArrow(_keep, _COLUMNS), "restaurants")
+    vocabulary = "origin lengths spelling fan ctx train hot_u hot_n hot_at"
+    words = _of(first, vocabulary + " xs", HOMES, WORDS)
+    places = _of(kept.where(F.col("part") == 1), "origin part us us_once xs", KEPT, PLACES)
+    context, lexicon, past = docs.sparkSession.sparkContext, py.Lexicon(), []
+    after, held, totals, rates, discount = None, None, None, None, 0.0
+    for sweep in range(py.SWEEPS + 1):
+        now = words
+        if sweep:
+            told = _dealt(_of(after, "origin part xs", TABLES).unionByName(places), homes).mapInArrow(_answer(0, discount, sweep), _COLUMNS)
+            now = words.unionByName(told).unionByName(_of(after, "origin tables hot_t", SEATED))
+        before, after = after, store.keep(_dealt(now, buckets, "kind", "origin").mapInArrow(_sweep(held, totals, rates, lexicon.discounts, discount, sweep), _COLUMNS), "seated")
+        averaged = sweep > py.SWEEPS - py.AVERAGED
+        if before is not None and not (past and past[-1][0] is before):
             store.drop(before)
-        before, now, told = after, after.where(F.col("kind") == WORDS), None
+        if held is not None and not (past and past[-1][1] is held):
+            held.unpersist()
+        now = told = before = None
         store.forget()
-        if sweep <= py.SWEEPS:
-            if sweep > py.SWEEPS - py.AVERAGED:
-                sent.append(store.keep(after.where(F.col("kind") == TOTALS), "totals"))
-            table, (customers, two, one, none, types, few, whole) = py._fit_spelling(after.where(F.col("kind") == SUMS), _SUMMED)
-            totals = py.Totals(customers, (two, one, none))
-            if not sweep:
-                lexicon.n, lexicon.types = int(whole[0]), int(types[0])
-                lexicon.discounts = tuple(py.discount_from(int(few[2 * k]), int(few[2 * k + 1])) for k in range(3))
-                discount = py.discount_from(int(whole[1]), int(whole[2]))
-            rng = np.random.default_rng(sweep + 1)
-            rates = [py.rate(t, s, d, rng) for t, s, d in zip(totals.tables, py.STRENGTH, lexicon.discounts)]
-            held = context.broadcast(table)
-    lexicon.past = tuple(past)
-    seatings = [a.withColumns({"part": F.lit(k + 1).cast("long"), "origin": F.lit(None).cast("long")}) for k, a in enumerate(sent)]
-    told = kept.unionByName(asks.withColumn("xs", F.lit(None).cast("binary")))
-    for own in seatings:
-        told = told.unionByName(own)
-    told = _dealt(told, buckets).mapInArrow(_answer(len(seatings), discount, 0), _COLUMNS)
-    once = first.where(F.col("kind") == WORDS).select(*(F.col(c) if c in ("kind", "bucket", "once") else F.lit(None).cast(t).alias(c) for c, t in (x.split() for x in _COLUMNS.split(", "))))
-    asked = source.mapInArrow(_send(buckets), _COLUMNS).unionByName(now).unionByName(once).unionByName(told)
-    scored = _dealt(asked, buckets, (F.col("kind") == BLOCKS), "part").mapInArrow(_score(lexicon, discount), py._SUMS)
+        table, (customers, two, one, none, types, few, whole) = py._fit_spelling(_of(after, "part keys counts", SUMS), _SUMMED)
+        totals = py.Totals(customers, (two, one, none))
+        if not sweep:
+            lexicon.n, lexicon.types = int(whole[0]), int(types[0])
+            lexicon.discounts = tuple(py.discount_from(int(few[2 * k]), int(few[2 * k + 1])) for k in range(3))
+            discount = py.discount_from(int(whole[1]), int(whole[2]))
+        rng = np.random.default_rng(sweep + 1)
+        rates = [py.rate(t, s, d, rng) for t, s, d in zip(totals.tables, py.STRENGTH, lexicon.discounts)]
+        held = context.broadcast(table)
+        if averaged:
+            past.append((after, held, totals))
+    lexicon.past = tuple(totals for _, _, totals in past)
+    told = _of(kept, "origin part us_n us_once us_hot xs", KEPT, PLACES)
+    asked = _of(first, vocabulary + " part n pair_fan pair_u pair_n us_ctx keys times texts ids flags", HOMES, PAIRS, WORDS, BLOCKS)
+    for k, (seating, _, _) in enumerate(past):
+        part = F.lit(k + 1).cast("long")
+        told = told.unionByName(_of(seating, "origin part xs", TABLES).withColumn("part", part))
+        asked = asked.unionByName(_of(seating, "origin tables hot_t", SEATED).withColumn("part", part))
+    told = _dealt(told, homes).mapInArrow(_answer(len(past), discount, 0), _COLUMNS)
+    scored = _dealt(asked.unionByName(told), buckets, "kind", "origin", "part").mapInArrow(_score([held for _, held, _ in past], lexicon, discount), py._SUMS)
     return scored.repartition("block").sortWithinPartitions("block", "bucket").mapInArrow(py._add(lexicon), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 

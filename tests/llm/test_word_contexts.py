@@ -99,3 +99,22 @@ def test_no_training_rows(spark):
     got = scores(spark, [(1, True, "a b"), (2, True, None)])
     assert {i: (r.n_tokens, r.n_known, r.train_tokens, r.base_score) for i, r in got.items()} == {1: (3, 0, 0, 0.0), 2: (1, 0, 0, 0.0)}
     assert word_contexts.score_texts(spark.createDataFrame([], SCHEMA), Store(spark)).count() == 0
+
+
+def test_numbers_travel_narrow_and_whole():
+    h = np.sort(np.random.default_rng(1).integers(0, 1 << 64, 5000, np.uint64, endpoint=False))
+    for x in (h, np.zeros(0, np.int64), np.array([0, 255]), np.array([3, 256, 65536]), np.arange(1 << 33, (1 << 33) + 9)):
+        assert (word_contexts.risen(word_contexts.rising(x), x.dtype) == x).all()
+        assert (word_contexts.spread(word_contexts.squeeze(x), x.dtype) == x).all()
+    assert len(word_contexts.squeeze(np.ones(10_000, np.int64))) < 100 and len(word_contexts.rising(h)) < 7.5 * len(h)
+
+
+def test_what_is_moved_is_in_proportion_to_the_texts(spark):
+    """All shuffles together, whose files may all lie on disk at once."""
+    rng = np.random.default_rng(3)
+    words = np.array(["".join(w) for w in rng.choice(list("etaoinshrdlu"), (8000, 6))])
+    rows = [(k, k % 7 == 2, " ".join(words[np.minimum(rng.zipf(1.3, 500), 8000) - 1])) for k in range(400)]
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    before = written()
+    assert len(scores(spark, rows)) == 400
+    assert written() - before < 8 * sum(len(t) for _, _, t in rows), (written() - before) / sum(len(t) for _, _, t in rows)
